@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 NUMBERED = re.compile(r"^(?:speaker|spk|s)\s*0*(\d+)$")
 ALIAS_TYPE = "map<string,string>"
+UNNAMED = "*"
+ROLES = ("host", "guest", "unknown")
 
 
 def voice_key(raw: str | None) -> str | None:
@@ -53,7 +55,11 @@ def aliases_of(people: list[tuple[str, str | None, str | None]], host: str | Non
             role = next((r for r, n in by_role.items() if n and r not in taken and voice_key(n) == voice_key(name)), role)
         for key in alias_keys(label, role, names):
             owners.setdefault(key, set()).add(label)
-    return {key: next(iter(labels)) for key, labels in owners.items() if len(labels) == 1}
+    out = {key: next(iter(labels)) for key, labels in owners.items() if len(labels) == 1}
+    unnamed = [label for label, role, name in people if not voice_key(name) and not voice_key(by_role.get(role or ""))]
+    if len(unnamed) == 1 and len(people) > 1:
+        out[UNNAMED] = unnamed[0]  # a strange name can only be this speaker's
+    return out
 
 
 def alias_maps(speakers: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
@@ -96,7 +102,8 @@ def resolver(aliases: dict[str, str] | list | None):
     def resolve(raw: str | None) -> str | None:
         if raw not in cache:
             key = voice_key(raw) if isinstance(raw, str) else None
-            cache[raw] = None if key is None else known.get(key, "?" + key)
+            strange = None if key is None or key[0] == "#" or key in ROLES else known.get(UNNAMED)
+            cache[raw] = None if key is None else known.get(key) or strange or "?" + key
         return cache[raw]
 
     return resolve
