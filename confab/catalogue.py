@@ -1,13 +1,699 @@
-"""Every query of the engine by name, with SQL that gives the same rows."""
+"""Every query of the engine by name, with SQL that gives the same rows.
+
+Names lead with the operator's id. Stated query sets of searches are the labelled queries whose number is divisible by 50.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from confab.config import SYSTEMS, SearchOptions, Settings
+from confab.functions.text import STOPWORDS, content_tokens, tokens, vocabulary_terms, word_count
+from confab.functions.vectors import hash_embedding
+from confab.operators import alignment, diarization, evaluation, fusion, index, islands, moments, querying, retrieval, roles, sequence
+from confab.plans import search as plan
+from confab.sources import transcripts
+from confab.streaming import indexing as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+EVERY = 50
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Base tables: one row a key.
+COLUMNS = {
+    "chunks": ["id", "file_id", "idx", "start_sec", "end_sec", "utt_start", "utt_end", "speakers", "text", "embed_text", "n_words", "doc_len"],
+    "utterances": ["id", "file_id", "idx", "speaker", "start_sec", "end_sec", "text", "word_start", "word_end", "words"],
+    "words": ["file_id", "word_idx", "text", "start_sec", "end_sec", "prob", "speaker"],
+    "turns": ["file_id", "idx", "speaker", "start_sec", "end_sec", "utterance_start", "utterance_end"],
+    "speakers": ["file_id", "label", "role", "display_name"],
+}
+KEYS = {"chunks": ["id"], "utterances": ["id"], "words": ["file_id", "word_idx"], "turns": ["file_id", "idx"], "speakers": ["file_id", "label"], "golden_queries": ["id"], "manifest": ["file_id"], "documents": ["doc_id"]}
+
+
+def raw(spark: SparkSession, at: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{at}/{name}.parquet")
+
+
+def base(spark: SparkSession, at: str, name: str, *columns: str) -> DataFrame:
+    """Only the named columns are read and shuffled; of repeated keys the latest row counts."""
+    t = raw(spark, at, name)
+    wanted = list(dict.fromkeys([*KEYS[name], *(columns or COLUMNS[name])]))
+    return t.select(*wanted, *(["indexed_at"] if "indexed_at" in t.columns else [])).dropDuplicates(wanted if name in ("words", "turns") else KEYS[name]).select(*wanted)
+
+
+def embedded(spark: SparkSession, at: str, name: str) -> DataFrame:
+    return raw(spark, at, name).select("id", "embedding").dropDuplicates(["id"])
+
+
+def asked(spark: SparkSession, at: str) -> DataFrame:
+    """The stated query set: query_id, query, category, role, split."""
+    g = base(spark, at, "golden_queries", "query", "category", "role", "split")
+    return g.where(F.expr("try_cast(regexp_extract(id, '([0-9]+)', 1) as bigint)") % EVERY == 0).select(F.col("id").alias("query_id"), "query", "category", "role", "split")
+
+
+def labels(spark: SparkSession, at: str) -> DataFrame:
+    return transcripts.golden_moments(raw(spark, at, "golden_queries").select("id", "relevant").dropDuplicates(["id"]))
+
+
+# SQL of the shared pieces.
+STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+TOK = """regexp_extract_all(replace(regexp_replace(lower(replace(replace({0}, '’', ''''), '‘', '''')), '''s\\b', '', 'g'), '''', ''), '[a-z0-9]+')"""
+CONTENT = "list_filter(" + TOK + f", lambda t: length(t) >= 3 and not list_contains({STOP}, t) and not regexp_matches(t, '^[0-9]+$'))"
+SPACES = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORDS = "len(regexp_extract_all(coalesce({0}, ''), '[^" + SPACES.replace("{", "{{").replace("}", "}}") + "]+'))"
+CH = "ch as (select distinct on (id) * from chunks order by id, indexed_at desc)"
+UT = "ut as (select distinct on (id) * from utterances order by id, indexed_at desc)"
+WO = "wo as (select distinct on (file_id, word_idx) * from words)"
+GQ = "gq as (select distinct on (id) * from golden_queries)"
+ASKED = f"asked as (select id as query_id, query, role from gq where try_cast(regexp_extract(id, '([0-9]+)', 1) as bigint) % {EVERY} = 0)"
+POSTED = f"occ as (select id as chunk_id, unnest({CONTENT.format('text')}) as lexeme from ch), posted as (select lexeme, chunk_id, count(*)::int as tf from occ group by all)"
+STATS = """stats as (select lexeme, count(*) as df from posted group by 1),
+lengths as (select ch.id as chunk_id, coalesce(sum(tf), 0)::bigint as doc_len from ch left join posted p on p.chunk_id = ch.id group by 1),
+corpus as (select count(*) as n_docs, sum(doc_len)::bigint as sum_doc_len from lengths)"""
+# Query text as the parser leaves it: without filters and quotes.
+QTEXT = r"""trim(regexp_replace(replace(regexp_replace(query, '(?i)\b(role|speaker|file):([A-Za-z0-9_\-]+)', ' ', 'g'), '"', ' '), '\s+', ' ', 'g'))"""
+QLEX = f"qlex as (select query_id, lexeme, count(*)::double as weight from (select query_id, unnest({CONTENT.format('qtext')}) as lexeme from (select *, {QTEXT} as qtext from asked)) group by all)"
+BM25 = """scored as (
+  select q.query_id, p.chunk_id as id, round(sum(q.weight * ln(1 + (c.n_docs - s.df + 0.5::double) / (s.df + 0.5::double)) * p.tf * 2.2::double
+    / (p.tf + 1.2::double * (0.25::double + 0.75::double * l.doc_len / (c.sum_doc_len::double / greatest(c.n_docs, 1))))), 6) as score
+  from qlex q join stats s using (lexeme) join posted p using (lexeme) join lengths l using (chunk_id), corpus c group by 1, 2),
+top as (select * from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from scored) where rank <= 50)"""
+LEXICAL = f"with {GQ}, {ASKED}, {CH}, {POSTED}, {STATS}, {QLEX}, {BM25}"
+UNIT = "list_dot_product(v::double[], q::double[]) / (sqrt(list_dot_product(v::double[], v::double[])) * sqrt(list_dot_product(q::double[], q::double[])))"
+DENSE = f"""vec as materialized (select distinct on (id) id, embedding as v from chunks where list_aggregate(list_transform(embedding, lambda x: x * x), 'sum') > 0),
+dq as (select id as query_id, v as q from vec where try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % {EVERY} = 0),
+dscored as (select query_id, id, round({UNIT}, 6) as score from dq, vec),
+dtop as (select * from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from dscored) where rank <= 20)"""
+
+
+def parsed(spark: SparkSession, at: str) -> DataFrame:
+    return querying.parse_queries(asked(spark, at)).where("q_error is null")
+
+
+def lexical_tables(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    chunks = base(spark, at, "chunks", "text")
+    posted = index.postings(chunks)
+    lengths = index.doc_lengths(chunks, posted)
+    return posted, index.term_stats(posted), lengths, index.corpus_stats(lengths)
+
+
+def lexical_hits(spark: SparkSession, at: str) -> DataFrame:
+    return retrieval.bm25(retrieval.query_lexemes(parsed(spark, at)), *lexical_tables(spark, at))
+
+
+def dense_hits(spark: SparkSession, at: str, k: int = 20) -> DataFrame:
+    vectors = embedded(spark, at, "chunks")
+    numbered = vectors.where(F.expr("try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint)") % EVERY == 0)
+    return retrieval.dense(numbered.select(F.col("id").alias("query_id"), "embedding"), vectors, k)
+
+
+# A: sources and sinks.
+@query("select file_id, coalesce(title, file_id) as title, published, speakers.host as host, speakers.guest as guest, excerpt.end_sec as end_sec from (select distinct on (file_id) * from manifest)")
+def a4_manifest(spark, at):  # noqa: ANN001, ANN201
+    m = base(spark, at, "manifest", "title", "published", "speakers", "excerpt")
+    return m.select("file_id", F.coalesce("title", "file_id").alias("title"), "published", F.col("speakers.host").alias("host"), F.col("speakers.guest").alias("guest"), F.col("excerpt.end_sec").alias("end_sec"))
+
+
+@query(f"with {GQ} select id as query_id, (generate_subscripts(relevant, 1) - 1)::int as label, unnest(relevant).file as file, unnest(relevant).start_sec as start_sec, unnest(relevant).end_sec as end_sec, coalesce(unnest(relevant).grade, 2) as grade, unnest(relevant).quote as quote from gq")
+def a5_golden_moments(spark, at):  # noqa: ANN001, ANN201
+    return labels(spark, at)
+
+
+@query(
+    f"""with {CH}, {UT}, refs as (select id as query_id, file_id, utt_start as a, utt_end - 1 as b from ch where utt_end > utt_start),
+    found as (select query_id, r.file_id as file, round(min(u.start_sec), 2) as start_sec, round(max(u.end_sec), 2) as end_sec, 2 as grade, string_agg(u.text, ' ' order by u.idx) as quote, count(*) as n, any_value(b - a + 1) as want
+      from refs r join ut u on u.file_id = r.file_id and u.idx between r.a and r.b group by 1, 2)
+    select query_id, file, start_sec, end_sec, grade, case when length(quote) <= 240 then quote else substr(quote, 1, 237) || '...' end as quote from found where n = want"""
+)
+def a6_resolve_references(spark, at):  # noqa: ANN001, ANN201
+    refs = base(spark, at, "chunks", "file_id", "utt_start", "utt_end").where("utt_end > utt_start")
+    refs = refs.select(F.col("id").alias("query_id"), F.format_string("%s:%d-%d@2", "file_id", "utt_start", F.col("utt_end") - 1).alias("reference"))
+    return transcripts.resolve_references(refs, base(spark, at, "utterances", "file_id", "idx", "start_sec", "end_sec", "text"))
+
+
+MERGE = f"""with {GQ}, m as (select unnest(relevant).file as file, unnest(relevant).start_sec as start_sec, unnest(relevant).end_sec as end_sec, coalesce(unnest(relevant).grade, 2) as grade from gq),
+reach as (select *, max(end_sec) over (partition by file order by start_sec, end_sec rows between unbounded preceding and 1 preceding) as r from m),
+runs as (select *, sum(case when r is null or start_sec - r >= 10 then 1 else 0 end) over (partition by file order by start_sec, end_sec) as island from reach)
+select file, min(start_sec) as start_sec, max(end_sec) as end_sec, max(grade) as grade, count(*) as n from runs group by file, island"""
+
+
+@query(MERGE)
+def a7_merge_close(spark, at):  # noqa: ANN001, ANN201
+    tolerance = Settings().tolerance
+    return islands.merge_intervals(labels(spark, at), ["file"], "start_sec", "end_sec", 2 * tolerance, inclusive=False, extra=[F.max("grade").alias("grade")]).drop("island")
+
+
+# B: expressions and predicates.
+@query(f"with {CH} select id, array_to_string({TOK.format('text')}, ' ') as tokens, len({TOK.format('text')}) as n from ch")
+def b2_tokens(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "chunks", "text").withColumn("t", tokens(F.col("text"))).select("id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n"))
+
+
+@query(f"with {CH} select id, array_to_string({CONTENT.format('text')}, ' ') as tokens from ch")
+def b3_content_tokens(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "chunks", "text").select("id", F.array_join(content_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"select doc_id, array_to_string(list_sort(list_distinct(list_filter({CONTENT.format('text')}, lambda t: regexp_matches(t, '[a-z]')))), ' ') as terms from documents")
+def b4_vocabulary_terms(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "documents", "text").select("doc_id", F.array_join(F.sort_array(vocabulary_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query()
+def b5_english_lexemes(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "chunks", "text").select("id", index.ANALYZERS["english"](F.col("text")).alias("lexemes")).select("id", F.array_join("lexemes", " ").alias("lexemes"), F.size("lexemes").alias("n"))
+
+
+@query(f"with {UT} select id, {WORDS.format('text')} as n, coalesce(rtrim(text) like '%?', false) as question from ut")
+def b9_b10_words_and_questions(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "utterances", "text").select("id", word_count(F.col("text")).cast("long").alias("n"), F.coalesce(sequence.is_question(F.col("text")), F.lit(False)).alias("question"))
+
+
+ABBREVIATED = ", ".join(f"'{a}'" for a in sequence.ABBREVIATIONS)
+ENDS = rf"""regexp_matches(lower(text), '[.?!]["'')\]]*$') and lower(text) not in ({ABBREVIATED}) and not regexp_matches(lower(text), '^([a-z]\.){{2,}}$')"""
+
+
+@query(f"with {WO} select file_id, count(*) as words, count(*) filter ({ENDS}) as ends from wo group by 1")
+def b11_sentence_ends(spark, at):  # noqa: ANN001, ANN201
+    w = base(spark, at, "words", "text")
+    return w.groupBy("file_id").agg(F.count(F.lit(1)).alias("words"), F.count(F.when(sequence.ends_sentence(F.col("text")), 1)).alias("ends"))
+
+
+@query(f"with {UT}, t as (select id, round(greatest(start_sec, 0) * 10)::bigint as t from ut) select id, printf('%02d:%02d.%d', t // 600, (t % 600) // 10, t % 10) as clock from t")
+def b12_clock(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "utterances", "start_sec").select("id", transcripts.clock(F.col("start_sec")).alias("clock"))
+
+
+@query(f"with {CH} select id from ch where file_id in ('open_channel_feed') and list_contains(speakers, 'SPEAKER_01')")
+def b13_b14_file_and_speaker(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "chunks", "file_id", "speakers").where(retrieval.filter_clause(files=["open_channel_feed"], speaker="SPEAKER_01")).select("id")
+
+
+@query(f"with {CH} select id from ch where exists (select 1 from speakers s where s.file_id = ch.file_id and s.role = 'host' and list_contains(ch.speakers, s.label))")
+def b15_role_semijoin(spark, at):  # noqa: ANN001, ANN201
+    return retrieval.with_role(base(spark, at, "chunks", "file_id", "speakers"), raw(spark, at, "speakers"), "host").select("id")
+
+
+PHRASE = f"""with {GQ}, {CH},
+phrases as (select id as query_id, generate_subscripts(p, 1) as n, unnest(p) as phrase from (select id, regexp_extract_all(query, '"([^"]{{1,200}})"', 1) as p from gq)),
+lexed as (select query_id, n, array_to_string({CONTENT.format('phrase')}, ' ') as seq from phrases),
+need as (select query_id, count(*) as need from lexed where seq <> '' group by 1),
+text as (select id as chunk_id, ' ' || array_to_string({CONTENT.format('text')}, ' ') || ' ' as seq from ch),
+hit as (select query_id, n, chunk_id from lexed join text on lexed.seq <> '' and contains(text.seq, ' ' || lexed.seq || ' '))
+select query_id, chunk_id from (select query_id, chunk_id, count(*) as n from hit group by 1, 2) join need using (query_id) where n = need"""
+
+
+@query(PHRASE)
+def b16_phrases(spark, at):  # noqa: ANN001, ANN201
+    g = base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), F.regexp_extract_all("query", F.lit('"([^"]{1,200})"'), 1).alias("q_phrases"))
+    return retrieval.phrase_matches(g, index.occurrences(base(spark, at, "chunks", "text")))
+
+
+@query(f"with {CH} select id, sha256(concat_ws('|', id, text)) as sha from ch")
+def b25_signatures(spark, at):  # noqa: ANN001, ANN201
+    return base(spark, at, "chunks", "text").select("id", F.sha2(F.concat_ws("|", "id", "text"), 256).alias("sha"))
+
+
+@query(
+    f"""with {CH} select a.id as id_a, b.id as id_b, round(greatest(0, least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec)) / greatest(least(a.end_sec - a.start_sec, b.end_sec - b.start_sec), 1e-6), 6) as overlap
+    from ch a join ch b on a.file_id = b.file_id and b.idx = a.idx + 1"""
+)
+def b26_overlap(spark, at):  # noqa: ANN001, ANN201
+    c = base(spark, at, "chunks", "file_id", "idx", "start_sec", "end_sec")
+    b = c.select("file_id", (F.col("idx") - 1).alias("idx"), F.col("id").alias("id_b"), F.col("start_sec").alias("b0"), F.col("end_sec").alias("b1"))
+    return c.join(b, ["file_id", "idx"]).select(F.col("id").alias("id_a"), "id_b", F.round(evaluation.overlap_ratio(F.col("start_sec"), F.col("end_sec"), F.col("b0"), F.col("b1")), 6).alias("overlap"))
+
+
+# C: joins.
+@query(f"with {CH}, {UT} select distinct ut.file_id, ut.idx, ut.id from ch join ut on ut.file_id = ch.file_id and ut.idx >= ch.utt_start and ut.idx < ch.utt_end")
+def c3_f9_utterance_range(spark, at):  # noqa: ANN001, ANN201
+    c = base(spark, at, "chunks", "file_id", "utt_start", "utt_end").select("file_id", "utt_start", "utt_end")
+    return moments.passage_utterances(c, base(spark, at, "utterances", "file_id", "idx")).select("file_id", "idx", "id").distinct()
+
+
+@query(f"with {GQ}, t as (select id, unnest({CONTENT.format('query')}) as lexeme from gq) select gq.id as query_id, coalesce(string_agg(t.lexeme, ' ' order by t.lexeme), '') as lexemes from gq left join t using (id) group by 1")
+def c6_b7_lateral_lexemes(spark, at):  # noqa: ANN001, ANN201
+    g = base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), F.explode_outer(content_tokens(F.col("query"))).alias("lexeme"))
+    return g.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("lexeme")), " ").alias("lexemes"))
+
+
+@query(
+    f"""with {GQ}, {CH} select gq.id as query_id, ch.id as chunk_id, max(m.grade) as grade from (select id, unnest(relevant) as m from gq) gq
+    join ch on ch.file_id = m.file and ch.start_sec <= m.end_sec + 5 and ch.end_sec >= m.start_sec - 5 group by 1, 2"""
+)
+def c13_interval_join(spark, at):  # noqa: ANN001, ANN201
+    g, stretch = labels(spark, at), 60.0
+    c = base(spark, at, "chunks", "file_id", "start_sec", "end_sec").select(F.col("id").alias("chunk_id"), F.col("file_id").alias("file"), F.col("start_sec").alias("c0"), F.col("end_sec").alias("c1"))
+    spread = lambda d, a, b: d.withColumn("stretch", F.explode(F.sequence(F.floor(a / stretch), F.floor(b / stretch))))
+    left, right = spread(g, F.col("start_sec") - 5, F.col("end_sec") + 5), spread(c, F.col("c0"), F.col("c1"))
+    hits = left.join(right, ["file", "stretch"]).where(evaluation.overlaps(F.col("c0"), F.col("c1"), F.col("start_sec"), F.col("end_sec"), 5.0))
+    return hits.groupBy("query_id", "chunk_id").agg(F.max("grade").alias("grade"))
+
+
+@query(
+    f"""with {UT}, {GQ}, spots as (select distinct m.file as file_id, m.start_sec as at from (select unnest(relevant) as m from gq))
+    select a.file_id, a.at, (select max_by(u.id, (u.start_sec, u.id)) from ut u where u.file_id = a.file_id and u.start_sec <= a.at + 0.05) as id from spots a"""
+)
+def c_as_of_utterance(spark, at):  # noqa: ANN001, ANN201
+    spots = labels(spark, at).select(F.col("file").alias("file_id"), F.col("start_sec").alias("at")).distinct()
+    return moments.as_of(base(spark, at, "utterances", "file_id", "start_sec"), spots)
+
+
+# D: aggregations.
+@query(f"with {CH}, t as (select id, unnest(list_distinct(list_filter({CONTENT.format('text')}, lambda t: regexp_matches(t, '[a-z]')))) as term from ch) select term, count(*) as df from t group by 1")
+def d5_vocabulary(spark, at):  # noqa: ANN001, ANN201
+    return index.vocabulary(base(spark, at, "chunks", "text"), keys=False)
+
+
+@query()
+def h5_vocabulary_with_sounds(spark, at):  # noqa: ANN001, ANN201
+    return index.vocabulary(base(spark, at, "chunks", "text"))
+
+
+PROFILES = f"""prof as (select file_id, speaker as label, round(sum(end_sec - start_sec), 2) as talk_time, sum({WORDS.format('text')})::bigint as n_words, count(*) as n_utterances,
+round(avg(case when rtrim(text) like '%?' then 1.0::double else 0.0::double end), 4) as question_rate, min(idx) as first_idx from ut where speaker is not null group by 1, 2)"""
+
+
+def _profiles(spark: SparkSession, at: str) -> DataFrame:
+    return roles.speaker_profiles(base(spark, at, "utterances", "file_id", "idx", "speaker", "start_sec", "end_sec", "text").where("speaker is not null"))
+
+
+@query(f"with {UT}, {PROFILES} select * from prof")
+def d6_speaker_profiles(spark, at):  # noqa: ANN001, ANN201
+    return _profiles(spark, at)
+
+
+@query(
+    f"""with {UT}, {PROFILES}, s as (select *, round(3 * question_rate + 1.5::double * (0.5::double - n_words / greatest(sum(n_words) over f, 1)) + case when first_idx = min(first_idx) over f then 0.5::double else 0 end, 9) as score from prof window f as (partition by file_id)),
+    p as (select *, row_number() over (partition by file_id order by score desc, first_idx) as place, count(*) over (partition by file_id) as speakers from s),
+    m as (select *, 1 / (1 + exp(-4 * coalesce(max(score) filter (place = 1) over f - max(score) filter (place = 2) over f, 1))) as confidence from p window f as (partition by file_id)),
+    names as (select file_id, max(speakers.host) as host, max(speakers.guest) as guest from manifest group by 1)
+    select m.file_id, label, talk_time, n_words, n_utterances, question_rate, case when place = 1 then 'host' else 'guest' end as role, round(confidence, 4) as role_confidence,
+      case when confidence >= 0.75 then case when place = 1 then host when speakers = 2 then guest end end as display_name from m left join names using (file_id)"""
+)
+def d7_infer_roles(spark, at):  # noqa: ANN001, ANN201
+    return roles.infer_roles(_profiles(spark, at), raw(spark, at, "manifest"))
+
+
+@query(f"with {CH}, {UT} select (select count(*) from ch) as chunks, (select count(*) from ut) as utterances, (select count(distinct file_id) from manifest) as files, (select round(sum(e) / 3600, 2) from (select max(excerpt.end_sec) as e from manifest group by file_id)) as hours")
+def d8_index_statistics(spark, at):  # noqa: ANN001, ANN201
+    count = lambda n: base(spark, at, n, *KEYS[n]).agg(F.count(F.lit(1)).alias(n))
+    files = raw(spark, at, "manifest").groupBy("file_id").agg(F.max("excerpt.end_sec").alias("e")).agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("e") / 3600, 2).alias("hours"))
+    return count("chunks").crossJoin(count("utterances")).crossJoin(files)  # one row each
+
+
+@query(
+    """with r as (select user_id, value, row_number() over (partition by user_id order by value) as r, count(*) over (partition by user_id) as n from events where value is not null)
+    select user_id, value from r where r = greatest(round_even(0.95 * n, 0), 1)"""
+)
+def d11_d12_nearest_rank(spark, at):  # noqa: ANN001, ANN201
+    return evaluation.nearest_rank(raw(spark, at, "events").select("user_id", "value"), ["user_id"], "value", 0.95)
+
+
+@query("select event_type, count(*) filter (value <= 10) as le10, count(*) filter (value <= 50) as le50, count(*) filter (value <= 100) as le100, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def d18_histogram(spark, at):  # noqa: ANN001, ANN201
+    e = raw(spark, at, "events").select("event_type", "value")
+    return e.groupBy("event_type").agg(*(F.count(F.when(F.col("value") <= b, 1)).alias(f"le{b}") for b in (10, 50, 100)), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# E: sequences.
+@query(
+    f"""with {UT}, f as (select *, case when lag(idx) over w is null or speaker is distinct from lag(speaker) over w then 1 else 0 end as opens from ut window w as (partition by file_id order by idx)),
+    t as (select *, sum(opens) over (partition by file_id order by idx) - 1 as turn from f)
+    select file_id, turn::bigint as turn, min_by(speaker, idx) as speaker, min_by(start_sec, idx) as start_sec, max_by(end_sec, idx) as end_sec, min(idx) as utterance_start, max(idx) + 1 as utterance_end from t group by 1, 2"""
+)
+def e2_turns(spark, at):  # noqa: ANN001, ANN201
+    return sequence.build_turns(base(spark, at, "utterances", "file_id", "idx", "speaker", "start_sec", "end_sec"))
+
+
+REGIONS = f"""{WO}, reach as (select *, max(end_sec) over (partition by file_id order by start_sec, end_sec rows between unbounded preceding and 1 preceding) as r from wo),
+marks as (select *, sum(case when r is null or start_sec - r > 0.5::double then 1 else 0 end) over (partition by file_id order by start_sec, end_sec) - 1 as island from reach),
+regions as (select file_id, island::bigint as island, min(start_sec) as start_sec, max(end_sec) as end_sec, count(*) as n from marks group by 1, 2)"""
+
+
+@query(f"with {REGIONS} select * from regions")
+def e3_speech_regions(spark, at):  # noqa: ANN001, ANN201
+    return sequence.speech_regions(base(spark, at, "words", "start_sec", "end_sec"))
+
+
+@query(
+    f"""with {REGIONS}, s as (select *, end_sec - start_sec as len, greatest(ceil(round((end_sec - start_sec - 1.5::double) / 0.75::double, 9)), 0)::int as steps from regions where end_sec - start_sec >= 0.4::double),
+    w as (select file_id, island, start_sec, end_sec, steps, len, unnest(range(0, case when len <= 1.5::double then 1 else steps + 1 end)) as k from s),
+    f as (select file_id, island, k::int as "window", end_sec, case when len <= 1.5::double then start_sec when k < steps then start_sec + k * 0.75::double else greatest(start_sec, end_sec - 1.5::double) end as from_sec from w)
+    select file_id, island, "window", round(from_sec, 6) as from_sec, round(least(from_sec + 1.5::double, end_sec), 6) as to_sec from f"""
+)
+def e4_sliding_windows(spark, at):  # noqa: ANN001, ANN201
+    return sequence.sliding_windows(sequence.speech_regions(base(spark, at, "words", "start_sec", "end_sec")))
+
+
+@query()
+def e5_build_utterances(spark, at):  # noqa: ANN001, ANN201
+    return sequence.build_utterances(base(spark, at, "words"))
+
+
+@query()
+def e6_build_chunks(spark, at):  # noqa: ANN001, ANN201
+    return sequence.build_chunks(base(spark, at, "utterances", "file_id", "idx", "speaker", "start_sec", "end_sec", "text"), Settings(chunk_context="question+title"), raw(spark, at, "manifest"))
+
+
+@query(
+    f"""with {UT}, f as (select *, case when lag(idx) over w is null or speaker is distinct from lag(speaker) over w then 1 else 0 end as opens from ut window w as (partition by file_id order by idx)),
+    t as (select *, sum(opens) over (partition by file_id order by idx) - 1 as turn from f),
+    q as (select file_id, turn + 1 as turn, max(idx) as question_idx from t where rtrim(text) like '%?' group by 1, 2)
+    select t.file_id, t.idx, q.question_idx, u.text as question from t join q using (file_id, turn) join ut u on u.file_id = t.file_id and u.idx = q.question_idx where t.idx > 0 and round(t.start_sec - u.end_sec, 9) <= 240"""
+)
+def e7_context_questions(spark, at):  # noqa: ANN001, ANN201
+    return sequence.context_questions(base(spark, at, "utterances", "file_id", "idx", "speaker", "start_sec", "end_sec", "text"))
+
+
+@query(
+    f"""with {WO}, k as (select file_id, word_idx, trim(text) as text, end_sec, greatest(max(start_sec) over (partition by file_id order by word_idx), 0.0::double) as s from wo where trim(text) <> '')
+    select file_id, word_idx, text, round(s, 3) as start_sec, round(greatest(end_sec, s + 0.02::double), 3) as end_sec from k"""
+)
+def e8_clean_words(spark, at):  # noqa: ANN001, ANN201
+    return sequence.clean_words(base(spark, at, "words", "text", "start_sec", "end_sec")).select("file_id", "word_idx", "text", "start_sec", "end_sec")
+
+
+@query(f"with {WO} select file_id, word_idx, coalesce(sum(case when trim(text) <> '' then 1 else 0 end) over (partition by file_id order by word_idx rows between unbounded preceding and 1 preceding), 0)::bigint as new_idx from wo")
+def e10_reindex(spark, at):  # noqa: ANN001, ANN201
+    return sequence.reindex(base(spark, at, "words", "text")).select("file_id", "word_idx", "new_idx")
+
+
+@query(
+    f"""with {WO} select file_id, word_idx, lag(word_idx) over w is null or regexp_matches(lag(text) over w, '[.?!]$') or round(start_sec - lag(end_sec) over w, 9) >= 0.6::double as is_boundary
+    from wo window w as (partition by file_id order by word_idx)"""
+)
+def e11_boundaries(spark, at):  # noqa: ANN001, ANN201
+    return sequence.boundaries(base(spark, at, "words", "text", "start_sec", "end_sec")).select("file_id", "word_idx", "is_boundary")
+
+
+@query()
+def e12_e13_smoothed_speakers(spark, at):  # noqa: ANN001, ANN201
+    """Words scored by their own label's confidence, smoothed over boundaries."""
+    w = sequence.boundaries(base(spark, at, "words", "text", "start_sec", "end_sec", "speaker"))
+    first = F.when(F.col("speaker").contains("1"), 0.2).otherwise(F.when(F.col("speaker").contains("0"), 0.8).otherwise(0.5))
+    return diarization.smooth_words(w.select("file_id", "word_idx", "is_boundary", F.array(F.log(first), F.log(1 - first)).alias("loglik")))
+
+
+def _windows(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    w = sequence.sliding_windows(sequence.speech_regions(base(spark, at, "words", "start_sec", "end_sec")))
+    p = F.pmod(F.col("window"), F.lit(4)) * 0.2 + 0.1
+    both = w.select("file_id", "from_sec", "to_sec", F.explode(F.array(F.struct(F.lit("A").alias("speaker"), p.alias("p")), F.struct(F.lit("B").alias("speaker"), (1 - p).alias("p")))).alias("x"))
+    return both.select("file_id", "from_sec", "to_sec", "x.speaker", "x.p"), w.groupBy("file_id").agg(F.max("to_sec").alias("duration"))
+
+
+@query()
+def e14_e15_word_likelihoods(spark, at):  # noqa: ANN001, ANN201
+    frames = diarization.frame_posteriors(*_windows(spark, at))
+    scored = diarization.word_likelihoods(base(spark, at, "words", "start_sec", "end_sec"), frames)
+    return scored.withColumn("loglik", F.round("loglik", 6))
+
+
+# F: set operations and listings.
+@query(
+    f"""with {GQ}, {ASKED}, {UT}, q as (select distinct query_id, unnest({CONTENT.format(QTEXT)}) as lexeme from asked), u as (select distinct id, unnest({CONTENT.format('text')}) as lexeme from ut)
+    select query_id, u.id, string_agg(lexeme, ' ' order by lexeme) as matched from q join u using (lexeme) group by 1, 2"""
+)
+def f8_matched_lexemes(spark, at):  # noqa: ANN001, ANN201
+    q = parsed(spark, at).select("query_id", F.explode(F.array_distinct("q_content")).alias("lexeme"))
+    u = base(spark, at, "utterances", "text").select("id", F.explode(F.array_distinct(content_tokens(F.col("text")))).alias("lexeme"))
+    return q.join(u, "lexeme").groupBy("query_id", "id").agg(F.array_join(F.sort_array(F.collect_list("lexeme")), " ").alias("matched"))
+
+
+@query(f"with {UT} select distinct u.file_id, u.speaker from ut u where speaker is not null and not exists (select 1 from speakers s where s.file_id = u.file_id and s.label = u.speaker)")
+def f10_unknown_speakers(spark, at):  # noqa: ANN001, ANN201
+    u = base(spark, at, "utterances", "file_id", "speaker").where("speaker is not null").select("file_id", "speaker").distinct()
+    return u.join(raw(spark, at, "speakers").select("file_id", F.col("label").alias("speaker")), ["file_id", "speaker"], "left_anti")
+
+
+# G: retrieval.
+@query()
+def g1_g2_parse_queries(spark, at):  # noqa: ANN001, ANN201
+    p = querying.parse_queries(base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), "query"))
+    return p.select("query_id", "q_text", F.array_join("q_phrases", "|").alias("phrases"), "q_role", "q_speaker", F.array_join("q_files", "|").alias("files"), "q_intent", "q_error")
+
+
+@query(f"{LEXICAL} select query_id, id, score, rank from top")
+def g4_bm25(spark, at):  # noqa: ANN001, ANN201
+    return lexical_hits(spark, at).select("query_id", "id", "score", "rank")
+
+
+@query(f"with {DENSE} select * from dtop")
+def g5_dense(spark, at):  # noqa: ANN001, ANN201
+    return dense_hits(spark, at)
+
+
+FUSED = f"""with raws as (select distinct on (query_id, id) * from fused),
+ch as (select query_id, id, unnest(map_keys(raw)) as channel, unnest(map_values(raw)) as v from raws),
+scored as (select query_id, id, channel, case when channel = 'dense_l2' then -v else v end as score from ch where v is not null),
+ranked as (select *, row_number() over (partition by query_id, channel order by score desc, id) as rank from scored)"""
+
+
+def _channels(spark: SparkSession, at: str) -> DataFrame:
+    f = raw(spark, at, "fused").select("query_id", "id", "raw").withColumn("raw", F.to_json("raw")).distinct().withColumn("raw", F.from_json("raw", "map<string,double>"))
+    s = f.select("query_id", "id", F.explode("raw").alias("channel", "v")).where("v is not null").withColumn("score", F.when(F.col("channel") == "dense_l2", -F.col("v")).otherwise(F.col("v"))).drop("v")
+    w = Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "id")
+    return s.withColumns({"rank": F.row_number().over(w), "weight": F.when(F.col("channel") == "phonetic", 0.0).when(F.col("channel") == "rerank", 0.5).otherwise(1.0), "multiplier": F.lit(1.0)})
+
+
+WEIGHT = "case channel when 'phonetic' then 0 when 'rerank' then 0.5::double else 1 end"
+
+
+@query(
+    f"""{FUSED}, f as (select query_id, id, round(sum({WEIGHT} / (10 + rank)), 9) as score, min(rank)::int as best from ranked where channel <> 'phonetic' group by 1, 2)
+    select query_id, id, score, best, row_number() over (partition by query_id order by score desc, best, id)::int as position from f"""
+)
+def g6_f3_weighted_rrf(spark, at):  # noqa: ANN001, ANN201
+    return fusion.reciprocal_ranks(_channels(spark, at)).drop("ranks")
+
+
+@query(
+    f"""{FUSED}, b as (select *, min(score) over w as lo, max(score) over w as hi from ranked window w as (partition by query_id, channel)),
+    f as (select query_id, id, round(sum({WEIGHT} * case when hi = lo then 1 else (score - lo) / (hi - lo) end), 9) as score from b where channel <> 'phonetic' group by 1, 2)
+    select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as position from f"""
+)
+def g7_convex_combination(spark, at):  # noqa: ANN001, ANN201
+    return fusion.convex(_channels(spark, at)).drop("ranks", "best")
+
+
+@query(
+    f"""{LEXICAL}, units as (select query_id, lexeme, coalesce(ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)), ln(1 + (n_docs + 0.5::double) / 0.5::double)) as w from qlex left join stats using (lexeme), corpus),
+    totals as (select query_id, sum(w) as total from units group by 1),
+    got as (select t.query_id, t.id, sum(u.w) as got from top t join posted p on p.chunk_id = t.id join units u on u.query_id = t.query_id and u.lexeme = p.lexeme group by 1, 2)
+    select query_id, id, round(got / total, 9) as coverage from got join totals using (query_id)"""
+)
+def g8_d10_coverage(spark, at):  # noqa: ANN001, ANN201
+    lexemes, tables = retrieval.query_lexemes(parsed(spark, at)), lexical_tables(spark, at)
+    return fusion.coverage(lexemes, retrieval.bm25(lexemes, *tables), tables[1], tables[3])
+
+
+GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
+ORTHO = f"""with {GQ}, {CH}, voc as (select term, count(*) as df from (select id, unnest(list_distinct(list_filter({CONTENT.format('text')}, lambda t: regexp_matches(t, '[a-z]')))) as term from ch) group by 1),
+tok as (select distinct t as token from (select unnest({CONTENT.format(QTEXT)}) as t from gq) where length(t) >= 4 and regexp_matches(t, '^[a-z]+$') and t not in (select term from voc)),
+pairs as (select token, term, {GRAMS.format('token')} as gt, {GRAMS.format('term')} as gv, 1 - levenshtein(token, term)::double / greatest(length(token), length(term)) as lev from tok, voc
+  where term <> token and (len(list_intersect({GRAMS.format('token')}, {GRAMS.format('term')})) > 0)),
+sim as (select token, term, lev, len(list_intersect(gt, gv))::double / (len(gt) + len(gv) - len(list_intersect(gt, gv))) as trgm from pairs),
+cand as (select *, list_max(list_transform(range(1, length(token) + 1), lambda i: list_max(list_prepend(0, list_transform(list_filter(range(1, length(token) - i + 2), lambda n: contains(term, substr(token, i, n))), lambda n: n))))) as lcs from sim
+  where trgm >= 0.3 or (length(token) >= 5 and contains(term, left(token, length(token) - 1)))),
+scored as (select token, term, case when length(token) >= 5 and lcs / length(token)::double >= 0.85 then greatest(trgm, lev, 0.70::double) else greatest(trgm, lev) end as s from cand)
+select token, term, score, kind, rank from (select token, term, round(s, 3) as score, 'spelling' as kind, row_number() over (partition by token order by round(s, 3) desc, term)::int as rank from scored where s >= 0.62) where rank <= 3"""
+
+
+def _query_tokens(spark: SparkSession, at: str) -> DataFrame:
+    p = querying.parse_queries(base(spark, at, "golden_queries", "query")).where("q_error is null")
+    return p.select(F.explode(content_tokens(F.col("q_text"))).alias("token")).distinct()
+
+
+@query(ORTHO)
+def g9_g11_spelling_expansion(spark, at):  # noqa: ANN001, ANN201
+    return retrieval.expansions(_query_tokens(spark, at), index.vocabulary(base(spark, at, "chunks", "text")), phonetic=False).where("kind = 'spelling'")
+
+
+@query()
+def g9_g12_soundslike_expansion(spark, at):  # noqa: ANN001, ANN201
+    return retrieval.expansions(_query_tokens(spark, at), index.vocabulary(base(spark, at, "chunks", "text")))
+
+
+@query()
+def g13_rerank(spark, at):  # noqa: ANN001, ANN201
+    fused = fusion.reciprocal_ranks(_channels(spark, at))
+    queries = base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), F.col("query").alias("q_text"))
+    return fusion.rerank(fused, base(spark, at, "chunks", "text"), queries).drop("ranks")
+
+
+@query()
+def g23_hash_embedding(spark, at):  # noqa: ANN001, ANN201
+    v = base(spark, at, "chunks", "text").select("id", hash_embedding(F.col("text")).alias("v"))
+    return v.select("id", F.transform("v", lambda x: F.round(x.cast("double"), 6)).alias("v"))
+
+
+def _index(spark: SparkSession, at: str) -> plan.Index:
+    return plan.build_index(base(spark, at, "chunks"), base(spark, at, "utterances"), base(spark, at, "speakers"), base(spark, at, "manifest", "title"))
+
+
+def _search(spark: SparkSession, at: str, options: SearchOptions) -> DataFrame:
+    return plan.search(_index(spark, at), asked(spark, at).select("query_id", "query"), options)
+
+
+def _flat(hits: DataFrame) -> DataFrame:
+    show = lambda entries, f: F.array_join(F.transform(entries, f), " ")
+    return hits.withColumns({"highlights": show("highlights", lambda m: F.concat_ws("-", m["from"], m["to"])), "ranks": show(F.map_entries("ranks"), lambda e: F.concat_ws(":", e["key"], e["value"]))})
+
+
+@query()
+def g_hybrid_search(spark, at):  # noqa: ANN001, ANN201
+    """Flagship: hybrid moment search with sounds-like expansion, coverage, snapping and suppression."""
+    return _flat(_search(spark, at, SYSTEMS["full"]))
+
+
+@query()
+def g_lexical_search(spark, at):  # noqa: ANN001, ANN201
+    return _flat(_search(spark, at, SYSTEMS["bm25"]))
+
+
+@query()
+def g_semantic_search(spark, at):  # noqa: ANN001, ANN201
+    return _flat(_search(spark, at, SYSTEMS["dense"]))
+
+
+@query()
+def g16_search_without_snap(spark, at):  # noqa: ANN001, ANN201
+    return _flat(_search(spark, at, SYSTEMS["full-no-snap"]))
+
+
+# H: index tables.
+@query(f"with {CH}, {POSTED} select * from posted")
+def h2_postings(spark, at):  # noqa: ANN001, ANN201
+    return index.postings(base(spark, at, "chunks", "text"))
+
+
+@query(f"with {CH}, {POSTED}, {STATS} select lexeme, df from stats")
+def h3_incremental_df(spark, at):  # noqa: ANN001, ANN201
+    """Document frequencies from two deltas, equal to those of the whole."""
+    posted = index.postings(base(spark, at, "chunks", "text"))
+    first = F.col("chunk_id") < "m"
+    return index.merge_counts(index.delta(posted.where(first), 1), index.delta(posted.where(~first), 1))
+
+
+@query(f"with {CH}, {POSTED} select lexeme, count(*) as df from posted where chunk_id not in (select id from ch where file_id = 'open_channel_feed') group by 1")
+def h4_deletion(spark, at):  # noqa: ANN001, ANN201
+    chunks = base(spark, at, "chunks", "file_id", "text")
+    posted = index.postings(chunks)
+    gone = chunks.where("file_id = 'open_channel_feed'").select(F.col("id").alias("chunk_id"))
+    return index.merge_counts(index.term_stats(posted), index.delta(posted.join(gone, "chunk_id", "left_semi"), -1))
+
+
+@query(f"with {CH}, {POSTED}, {STATS} select chunk_id, doc_len from lengths")
+def d3_doc_lengths(spark, at):  # noqa: ANN001, ANN201
+    return lexical_tables(spark, at)[2]
+
+
+@query(f"with {CH}, {POSTED}, {STATS} select * from corpus")
+def d4_corpus_stats(spark, at):  # noqa: ANN001, ANN201
+    return lexical_tables(spark, at)[3]
+
+
+@query(f"with {CH}, {POSTED}, {STATS}, kept as (select lexeme, df + case when lexeme like 'a%' then 1 else 0 end as df from stats) select lexeme, kept.df as kept, stats.df as computed from kept full join stats using (lexeme) where kept.df is distinct from stats.df")
+def h7_c8_drift(spark, at):  # noqa: ANN001, ANN201
+    """Drift of counts in which terms with a were counted once too often."""
+    stats = lexical_tables(spark, at)[1]
+    return index.drift(stats.withColumn("df", F.col("df") + F.when(F.col("lexeme").startswith("a"), 1).otherwise(0)), stats)
+
+
+# I: evaluation.
+HITS = f"""{LEXICAL}, gold as (select id as query_id, (generate_subscripts(relevant, 1) - 1)::int as label, unnest(relevant).file as file, unnest(relevant).start_sec as start_sec, unnest(relevant).end_sec as end_sec, coalesce(unnest(relevant).grade, 2) as grade from gq),
+ret as (select t.query_id, t.rank, ch.file_id as file, ch.start_sec, ch.end_sec from top t join ch on ch.id = t.id where t.rank <= 10),
+hits as (select r.query_id, r.rank, r.start_sec, g.label, g.grade, g.start_sec as gold_start from ret r join gold g on g.query_id = r.query_id and g.file = r.file and r.start_sec <= g.end_sec + 5 and r.end_sec >= g.start_sec - 5)"""
+
+
+def _judged(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    spots = base(spark, at, "chunks", "file_id", "start_sec", "end_sec").select("id", F.col("file_id").alias("file"), "start_sec", "end_sec")
+    returned = lexical_hits(spark, at).where("rank <= 10").join(spots, "id").select("query_id", "rank", "file", "start_sec", "end_sec")
+    gold = labels(spark, at).join(asked(spark, at).select("query_id"), "query_id", "left_semi")
+    return evaluation.interval_hits(returned, gold, Settings().tolerance), gold
+
+
+@query(f"{HITS} select query_id, rank, label, grade from hits")
+def i_b27_interval_hits(spark, at):  # noqa: ANN001, ANN201
+    return _judged(spark, at)[0].select("query_id", "rank", "label", "grade")
+
+
+@query(f"{HITS}, f as (select query_id, min(rank) as first_hit from hits group by 1) select a.query_id, round(coalesce(1.0::double / first_hit, 0), 6) as mrr, case when first_hit <= 5 then 1.0::double else 0.0::double end as success5 from (select distinct query_id from gold join asked using (query_id)) a left join f using (query_id)")
+def i2_mrr_and_success(spark, at):  # noqa: ANN001, ANN201
+    return evaluation.query_metrics(*_judged(spark, at)).select("query_id", "mrr", "success5")
+
+
+@query()
+def i1_i4_query_metrics(spark, at):  # noqa: ANN001, ANN201
+    return evaluation.query_metrics(*_judged(spark, at))
+
+
+@query()
+def d13_summary_by_category(spark, at):  # noqa: ANN001, ANN201
+    m = evaluation.query_metrics(*_judged(spark, at)).join(asked(spark, at).select("query_id", "category"), "query_id")
+    return evaluation.summary(m, ["category"])
+
+
+@query()
+def d15_bootstrap(spark, at):  # noqa: ANN001, ANN201
+    m = evaluation.query_metrics(*_judged(spark, at)).join(asked(spark, at).select("query_id", F.coalesce("category", F.lit("none")).alias("category")), "query_id")
+    return evaluation.bootstrap_table(m, ["category"], "mrr")
+
+
+@query(
+    f"""{FUSED}, l as (select query_id, max(rank) filter (channel = 'dense') as dense, max(rank) filter (channel = 'lexical') as lexical, max(rank) filter (channel = 'rerank') as rerank from ranked group by 1)
+    select query_id, dense::int as dense, lexical::int as lexical, rerank::int as rerank from l"""
+)
+def d17_pivot_by_system(spark, at):  # noqa: ANN001, ANN201
+    return _channels(spark, at).groupBy("query_id").pivot("channel", ["dense", "lexical", "rerank"]).agg(F.max("rank"))
+
+
+@query()
+def e21_i7_error_rates(spark, at):  # noqa: ANN001, ANN201
+    """Utterances as the reference of their recording's words."""
+    reference = base(spark, at, "utterances", "file_id", "start_sec", "speaker", "text").select("file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("start_sec")).alias("turn"), F.coalesce("speaker", F.lit("?")).alias("speaker"), "text")
+    short = base(spark, at, "manifest", "excerpt").where("excerpt.end_sec <= 300").select("file_id")
+    return alignment.error_rates(reference.join(short, "file_id", "left_semi"), base(spark, at, "words").join(short, "file_id", "left_semi"))
+
+
+# K: events.
+def naive(df: DataFrame, *columns: str) -> DataFrame:
+    """Timestamps without zone, as in the events table."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query(
+    """with f as (select user_id, ts, value, case when lag(ts) over w is null or ts - lag(ts) over w > interval 12 hours then 1 else 0 end as opens from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as session from f)
+    select user_id, min(ts) as from_ts, max(ts) + interval 12 hours as to_ts, count(*) as n, round(sum(value), 4) as value from s group by user_id, session"""
+)
+def k_sessions(spark, at):  # noqa: ANN001, ANN201
+    return naive(streaming.sessions(raw(spark, at, "events")), "from_ts", "to_ts")
+
 
+@query(
+    """with w as (select event_type, unnest([date_trunc('hour', ts) + to_minutes(30 * (extract(minute from ts)::int // 30)), date_trunc('hour', ts) + to_minutes(30 * (extract(minute from ts)::int // 30)) - interval 30 minutes]) as from_ts from events)
+    select from_ts, event_type, count(*) as n from w group by all"""
+)
+def k_sliding_counts(spark, at):  # noqa: ANN001, ANN201
+    return naive(streaming.sliding_counts(raw(spark, at, "events")), "from_ts")
 
-def FLAGSHIP(spark: SparkSession, at: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{at}/chunks.parquet").select("id")
 
+FLAGSHIP = g_hybrid_search
 
-QUERIES: dict = {}
-SQL: dict = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,8 +140,6 @@ def english_lexemes(text: str | None) -> list[str]:
 
 def english(text: Column) -> Column:
     """`english_lexemes` as an Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def analyse(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: english_lexemes(t) if isinstance(t, str) else [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,6 @@ def alias_maps(speakers: DataFrame, manifest: DataFrame | None = None) -> DataFr
 
     @F.pandas_udf(ALIAS_TYPE)
     def build(people, host, guest):  # noqa: ANN001
-        import pandas as pd
-
         return pd.Series(
             [
                 aliases_of([(p["label"], p["role"], p["name"]) for p in ps], h if isinstance(h, str) else None, g if isinstance(g, str) else None)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from confab.config import PREFIXES, SearchOptions, Settings
 from confab.functions.vectors import hash_embedding
 from confab.operators import fusion, index, moments, querying, retrieval
+from confab.session import stage
 
 RESULT = ("query_id", "rank", "id", "file_id", "title", "utterance_id", "speaker", "role", "speaker_name", "start_sec", "end_sec", "match_time", "text", "highlights", "score", "ranks")
 
@@ -34,12 +35,12 @@ class Index:
 
 
 def build_index(chunks: DataFrame, utterances: DataFrame, speakers: DataFrame, manifest: DataFrame, analyzer: str = "simple", profile: str = "hash") -> Index:
-    """Plans of all index tables; vectors come from the deterministic embedder over embed_text."""
-    embedded = chunks.withColumn("embedding", hash_embedding(F.col("embed_text"), PREFIXES[profile][1]))
-    occurrences = index.occurrences(chunks, analyzer)
-    posted = occurrences.groupBy("lexeme", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lengths = index.doc_lengths(chunks, posted)
-    return Index(embedded, utterances, speakers, manifest, occurrences, posted, index.term_stats(posted), lengths, index.corpus_stats(lengths), index.vocabulary(chunks), analyzer, profile)
+    """All index tables, written to the shared folder and read again; vectors come from the deterministic embedder over embed_text."""
+    embedded = stage(chunks.withColumn("embedding", hash_embedding(F.col("embed_text"), PREFIXES[profile][1])))
+    occurrences = stage(index.occurrences(embedded, analyzer))
+    posted = stage(occurrences.groupBy("lexeme", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    lengths = stage(index.doc_lengths(embedded, posted))
+    return Index(embedded, utterances, speakers, manifest, occurrences, posted, stage(index.term_stats(posted)), lengths, stage(index.corpus_stats(lengths)), stage(index.vocabulary(embedded)), analyzer, profile)
 
 
 def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions(), settings: Settings = Settings(), lexicon: list[str] | None = None) -> DataFrame:
@@ -52,6 +53,7 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
     parsed = querying.parse_queries(queries, "query", settings.max_query_chars).where("q_error is null")
     if "role" in queries.columns:
         parsed = parsed.withColumn("q_role", F.coalesce(F.lower(F.trim("role")), "q_role"))
+    parsed = stage(parsed.withColumn("embedding", hash_embedding(F.col("q_text"), PREFIXES[ix.profile][0])))
     lexemes = retrieval.query_lexemes(parsed, ix.analyzer)
 
     phrased = parsed.where("size(q_phrases) > 0")
@@ -60,7 +62,7 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
     by_filter = retrieval.allowed_chunks(parsed, ix.chunks, ix.speakers).withColumn("kind", F.lit("filter"))
     by_phrase = retrieval.phrase_matches(phrased, ix.occurrences, ix.analyzer).withColumn("kind", F.lit("phrase"))
     need = parsed.select("query_id", (F.expr(filtered).cast("int") + (F.size("q_phrases") > 0).cast("int")).alias("need")).where("need > 0")
-    allowed = by_filter.unionByName(by_phrase).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).join(need, "query_id").where("n = need").select("query_id", "chunk_id")
+    allowed = stage(by_filter.unionByName(by_phrase).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).join(need, "query_id").where("n = need").select("query_id", "chunk_id"))
 
     channels, hits = [], None
     if options.mode != "semantic":
@@ -68,11 +70,12 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
             asked = parsed.select(F.explode("q_content").alias("token")).distinct()
             expanded = retrieval.expansions(asked, ix.vocabulary, lexicon)
             lexemes = lexemes.unionByName(retrieval.expansion_lexemes(parsed, lexemes, expanded, settings.expansion_weight, ix.analyzer))
+        lexemes = stage(lexemes)
         free, bound = lexemes.join(restricted, "query_id", "left_anti"), lexemes.join(restricted, "query_id", "left_semi")
         args = (ix.postings, ix.stats, ix.lengths, ix.corpus, settings)
-        hits = retrieval.bm25(free, *args).unionByName(retrieval.bm25(bound, *args, allowed=allowed))
+        hits = stage(retrieval.bm25(free, *args).unionByName(retrieval.bm25(bound, *args, allowed=allowed)))
         channels.append(hits.select("query_id", F.lit("lexical").alias("channel"), "id", "rank", "score"))
-    vectors = parsed.withColumn("embedding", hash_embedding(F.col("q_text"), PREFIXES[ix.profile][0]))
+    vectors = parsed
     if options.mode != "lexical":
         free = retrieval.dense(vectors.join(restricted, "query_id", "left_anti"), ix.chunks, settings.candidates)
         bound = retrieval.dense_among(vectors, ix.chunks, allowed, settings.candidates)
@@ -90,7 +93,7 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
     fused = fusion.convex(listed) if options.fusion == "cc" and options.mode == "hybrid" else fusion.reciprocal_ranks(listed, settings.rrf_k)
     if options.rerank:
         fused = fusion.rerank(fused, ix.chunks, parsed, top=settings.rerank_top, k=settings.rrf_k)
-    pooled = fused.where(F.col("position") <= pool)
+    pooled = stage(fused.where(F.col("position") <= pool))
 
     passages = pooled.join(ix.chunks.select("id", "file_id", F.col("start_sec").alias("chunk_start"), F.col("end_sec").alias("chunk_end"), "utt_start", "utt_end"), "id").join(vectors.select("query_id", "q_intent", "q_role", "q_speaker", F.col("embedding").alias("q_vector")), "query_id")
     said = ix.utterances.select("file_id", "idx", F.col("id").alias("utterance_id"), "speaker", F.col("start_sec").alias("utt_start_sec"), F.col("end_sec").alias("utt_end_sec"), "text", "words")
