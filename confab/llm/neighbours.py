@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from confab.session import stage
 
-#: Vectors a cell should hold, least and most cells, and the sample for the codebooks: so many vectors a cell.
-CELL, FEWEST, MOST, PER_CELL = 300, 16, 8192, 32
+#: Vectors a cell should hold, fewest and most cells, and the sample for the codebooks: so many vectors a cell.
+CELL, FEWEST, MOST, PER_CELL = 300, 1, 8192, 32
 #: Books after the cells, words in each, beam, cells asked, candidates reranked.
 BOOKS, WORDS, BEAM, PROBES, RERANK = 8, 16, 3, 4, 24
 #: Rows or queries of a cell in one block.
@@ -57,7 +57,7 @@ class Codebooks:
     @staticmethod
     def train(x: np.ndarray, cells: int, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> Codebooks:
         rng = np.random.default_rng(seed)
-        first = kmeans(x, cells, rng)
+        first = np.unique(kmeans(x, cells, rng), axis=0)  # equal words would take each other's probes
         rest = x - first[nearest(x, first)]
         found = []
         for _ in range(books):
@@ -75,11 +75,11 @@ class Codebooks:
 
     def encode(self, x: np.ndarray, cell: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes by beam search over the books, and the norms of what they stand for."""
-        n, d = x.shape
+        n = len(x)
         rest = (x - self.cells[cell])[:, None, :]
         codes = np.zeros((n, 1, 0), dtype=np.uint8)
         for book in self.books:
-            width, words = rest.shape[1], len(book)
+            words = len(book)
             error = (rest * rest).sum(2)[:, :, None] - 2 * (rest @ book.T) + (book * book).sum(1)
             flat = error.reshape(n, -1)
             keep = min(beam, flat.shape[1])
@@ -87,7 +87,6 @@ class Codebooks:
             parent, word = best // words, best % words
             rest = np.take_along_axis(rest, parent[:, :, None], 1) - book[word]
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
-            assert rest.shape == (n, keep, d) and width
         at = np.arange(n)
         best = (rest * rest).sum(2).argmin(1)
         return codes[at, best], np.linalg.norm(x - rest[at, best], axis=1).astype(np.float32)
@@ -140,7 +139,7 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
     if not len(sample):
         return spark.createDataFrame([], "code bigint, other bigint, cosine float")
     books = spark.sparkContext.broadcast(Codebooks.train(sample, cells))  # cells are at most MOST
-    seen = np.bincount(books.value.probes(sample, 1)[:, 0], minlength=cells)
+    seen = np.bincount(books.value.probes(sample, 1)[:, 0], minlength=len(books.value.cells))
     blocks = np.maximum(1, np.ceil(seen / len(sample) * n / BLOCK)).astype(int)
     crowded = bool((blocks > 1).any())
     columns = ["cell", "block", "side", "role", "code", "vector"]

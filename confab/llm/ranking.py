@@ -44,7 +44,7 @@ def inverse_normal(p: Column) -> Column:
 
 def value_bucket(v: Column) -> Column:
     """An order-preserving bucket of a double: sign, and sixteenths of a power of two of its magnitude."""
-    magnitude = F.floor(16 * F.log2(F.greatest(F.abs(v), F.lit(1e-30)))) + 16 * 110
+    magnitude = F.floor(16 * F.log2(F.least(F.greatest(F.abs(v), F.lit(1e-30)), F.lit(1e300)))) + 16 * 110
     return F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(F.lit(0)).cast("int")
 
 

@@ -142,34 +142,34 @@ def train(samples: list[tuple[str, str]]) -> Grader:
     return Grader(Forest().fit(x, y), float(slope), float(shift), float(np.abs(fit - y).mean()), float((np.floor(fit + 0.5) == y).mean()))
 
 
-def train_on(samples: DataFrame) -> Grader:
+def train_on(samples: DataFrame) -> Grader | None:
     """Trains on the driver on at most MOST_SAMPLES samples; of a repeated sample_id the greatest text counts; rows with
-    null text or another band take no part."""
+    null text or another band take no part. None without samples."""
     known = samples.where(F.col("text").isNotNull() & F.col("band").isin(*BANDS))
     rows = known.groupBy("sample_id").agg(F.max(F.struct("text", "band")).alias("s")).orderBy("sample_id").limit(MOST_SAMPLES).select("s.*").collect()
     if not rows:
-        raise ValueError("no graded samples")
+        return None
     return train([(r["text"], r["band"]) for r in rows])
 
 
 def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en") -> DataFrame:
     """(doc_id, source, grade, band) of every document of the language: grade from 0 (primary) to 3 (expert), calibrated,
-    and the nearest band. Null and wordless texts have null grade and band; of a repeated doc_id the greatest text counts;
+    and the nearest band. Null and wordless texts have null grade and band, and so have all without graded samples; of a repeated doc_id the greatest text counts;
     rows without doc_id take no part."""
     grader = train_on(samples)
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.lower(F.trim("lang")) == lang)).select("doc_id", "source", "text")
+    texts = documents.where(F.col("doc_id").isNotNull() & (F.lower(F.trim("lang")) == lang)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     measured = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("grade", pa.float64()), ("band", pa.string())])
 
     def grade(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             text = batch.column("text").to_pylist()
             x = np.array([features(t) for t in text], dtype=float).reshape(len(text), -1)
-            g = grader.grade(x) if len(x) else np.zeros(0)
-            read = [bool(r.any()) for r in x]
+            g = grader.grade(x) if len(x) and grader else np.zeros(len(x))
+            read = [bool(r.any()) and grader is not None for r in x]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"), "source": batch.column("source"), "size": [len(t or "") for t in text],
-                    "grade": [round(float(v), 6) if ok else None for v, ok in zip(g, read)], "band": [grader.band(v) if ok else None for v, ok in zip(g, read)],
+                    "grade": [round(float(v), 6) if ok else None for v, ok in zip(g, read)], "band": [Grader.band(v) if ok else None for v, ok in zip(g, read)],
                 },
                 schema=measured,
             )
@@ -181,5 +181,5 @@ def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en") -
 
 def grader_report(spark: SparkSession, samples: DataFrame) -> DataFrame:
     """One row: cross-validated mean absolute error in grades and share of samples in their band."""
-    g = train_on(samples)
+    g = train_on(samples) or Grader(Forest(), 1.0, 0.0, float("nan"), float("nan"))
     return spark.createDataFrame([(round(g.error, 6), round(g.accuracy, 6))], "mean_error double, in_band double")

@@ -81,7 +81,8 @@ def partial_runs(events: DataFrame, maps: DataFrame) -> DataFrame:
                 # Of rows that share a position, the one with the last voice in order counts.
                 order = np.lexsort((voice, pos))
                 order = order[np.append(pos[order][1:] != pos[order][:-1], True)]
-                take = {k: col[k].fill_null(0).to_numpy(zero_copy_only=False)[order] for k in ("lo", "hi")}
+                open_ = {"lo": -(1 << 62), "hi": 1 << 62}
+                take = {k: col[k].fill_null(v).to_numpy(zero_copy_only=False)[order] for k, v in open_.items()}
                 times = {k: col[k].to_numpy(zero_copy_only=False).astype(float)[order] for k in ("start_sec", "end_sec")}
                 pos, voice = pos[order], voice[order]
                 starts = run_starts(voice, take["lo"], take["hi"])

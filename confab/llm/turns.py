@@ -110,7 +110,10 @@ def isotonic(values: np.ndarray) -> np.ndarray:
 def repair_times(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Times of a segment in spoken order: after a reset the clock runs on from the latest end before it; then starts
     are fitted to be non-decreasing and ends not to precede them. Consistent times are returned as they are."""
-    start, end = np.nan_to_num(start, nan=0.0), np.where(np.isnan(end), start, end)
+    if np.isnan(start).any():  # a missing start is that of the utterance before
+        at = np.maximum.accumulate(np.where(np.isnan(start), 0, np.arange(len(start))))
+        start = np.nan_to_num(start[at], nan=0.0)
+    end = np.where(np.isnan(end), start, end)
     falls = np.flatnonzero(np.diff(start) < -RESET_SEC) + 1
     for i in falls:
         shift = np.max(end[:i]) - start[i]
