@@ -24,8 +24,7 @@ TAG = re.compile(r"<[^<>]{0,200}>|\[[^\[\]]{0,80}\]|\((?:fig\.|\d)[^()]{0,30}\)"
 LABEL = re.compile(r"(?m)^\s*(?:>>\s*)?[^\W\d_][\w .'-]{0,40}:\s+")
 BULLET = re.compile(r"(?m)^\s*(?:>>|[-*•·–—#>]+|\d+[.)])\s+")
 CLOCK = re.compile(r"\b\d{1,2}:\d{2}(?::\d{2})?\b")
-LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-SENTENCE = re.compile(r"[.!?;]+[\"')\]]*\s+|\n+")
+SCAN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;]+[\"')\]]*\s|\n")
 VOWELS = re.compile(r"[aeiouy]+")
 # Words that tie clauses, and endings of learned English words.
 CONNECTIVES = frozenset("because although however therefore since unless whereas while when if so but and or before after until though notwithstanding irrespective moreover nevertheless which that".split())
@@ -37,29 +36,69 @@ def clean(text: str) -> str:
     return CLOCK.sub(" ", BULLET.sub("", LABEL.sub("", TAG.sub(" ", BULLET.sub("", text)))))
 
 
-def features(text: str) -> list[float]:
-    """Distribution figures of a text; zeros for a text without words."""
+class _Lexicon:
+    """Figures of each distinct word, computed once: rows of a matrix that a text's words pick from."""
+
+    MOST = 500_000
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, 12))
+
+    def row(self, w: str) -> tuple[float, ...]:
+        n, beats = len(w), max(1, len(VOWELS.findall(w)))
+        return n, n * n, n >= 7, n >= 10, n <= 3, beats, beats >= 3, beats >= 4, w.endswith(LEARNED), w in CONNECTIVES, w in ("the", "of", "by"), 1.0
+
+    def pick(self, words: list[str]) -> np.ndarray:
+        if len(self.at) + len(words) > self.MOST:
+            self.at.clear()
+        found = []
+        for w in words:
+            k = self.at.get(w)
+            if k is None:
+                k = self.at[w] = len(self.at)
+                if k >= len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[k] = self.row(w)
+            found.append(k)
+        return self.rows[found]
+
+
+LEXICON = _Lexicon()
+N_FEATURES = 18
+
+
+def features(text: str | None) -> list[float]:
+    """Distribution figures of a text; zeros for a text without words. One pass over words and sentence ends."""
+    sentences: list[list[str]] = []
+    open_: list[str] = []
     body = clean(text or "")
-    raw = LETTERS.findall(body)
+    for t in SCAN.findall(body):
+        if t[0].isalpha():
+            open_.append(t)
+        elif open_:
+            sentences.append(open_)
+            open_ = []
+    if open_:
+        sentences.append(open_)
+    raw = [w for s in sentences for w in s]
     # Names say nothing about difficulty: capitalised words inside a sentence are left out.
-    words = [w.lower() for i, w in enumerate(raw) if i == 0 or not w[0].isupper()] or [w.lower() for w in raw]
+    words = [w.lower() for i, w in enumerate(raw) if i == 0 or not w[0].isupper()]
     if not words:
-        return [0.0] * 18
+        return [0.0] * N_FEATURES
+    picked = LEXICON.pick(words)
     n = len(words)
-    length = np.array([len(w) for w in words], dtype=float)
-    beats = np.array([max(1, len(VOWELS.findall(w))) for w in words], dtype=float)
-    sentences = [len(LETTERS.findall(s)) for s in SENTENCE.split(body)]
-    sentences = np.array([s for s in sentences if s] or [n], dtype=float)
+    length, square, seven, ten, three, beats, beats3, beats4, learned, ties, small, _ = picked.mean(0).tolist()
+    by_length = np.sort(picked[:, 0])
+    sizes = sorted(map(len, sentences))
+    mean = sum(sizes) / len(sizes)
+    spread = (sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5
+    stems = [s for s in ({w.lower() for w in s if len(w) > 3} for s in sentences) if s]
+    shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(stems, stems[1:])]
     head = words[:100]
-    stems = [{w for w in map(str.lower, LETTERS.findall(s)) if len(w) > 3} for s in SENTENCE.split(body)]
-    stems = [s for s in stems if s]
-    ties = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(stems, stems[1:])]
     return [
-        length.mean(), length.std(), float(np.percentile(length, 75)), float(np.percentile(length, 90)), (length >= 7).mean(), (length >= 10).mean(), (length <= 3).mean(),
-        beats.mean(), (beats >= 3).mean(), (beats >= 4).mean(),
-        len(set(head)) / len(head), sum(w.endswith(LEARNED) for w in words) / n,
-        min(float(np.median(sentences)), 60.0), min(float(sentences.std()), 60.0),
-        sum(w in CONNECTIVES for w in words) / n, body.count(",") / n, sum(w in ("the", "of", "by") for w in words) / n, float(np.mean(ties)) if ties else 0.0,
+        length, max(0.0, square - length * length) ** 0.5, float(by_length[(3 * n) // 4]), float(by_length[(9 * n) // 10]), seven, ten, three, beats, beats3, beats4,
+        len(set(head)) / len(head), learned, min(float(sizes[len(sizes) // 2]), 60.0), min(spread, 60.0), ties, body.count(",") / n, small, sum(shared) / len(shared) if shared else 0.0,
     ]
 
 
