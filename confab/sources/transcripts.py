@@ -36,7 +36,10 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def write_transcripts(df: DataFrame, path: str) -> None:
     """One JSON object a line, times to the millisecond."""
-    times = {c: F.transform(c, lambda x, names=names: x.withField(names[0], F.round(x[names[0]], 3)).withField(names[1], F.round(x[names[1]], 3))) for c, names in (("words", ("s", "e")), ("utterances", ("start", "end")), ("turns", ("start", "end")))}
+    def rounded(column: str, start: str, end: str) -> Column:
+        return F.transform(column, lambda x: x.withField(start, F.round(x[start], 3)).withField(end, F.round(x[end], 3)))
+
+    times = {"words": rounded("words", "s", "e"), "utterances": rounded("utterances", "start", "end"), "turns": rounded("turns", "start", "end")}
     df.withColumns(times).withColumn("schema_version", F.lit(VERSION)).write.mode("overwrite").json(path)
 
 
