@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +51,28 @@ def stage(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's code to all Python workers, present and future, once an application: the archive lies in the
+    shared folder, so workers need neither the repository nor a search path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, Path(package.name, path.relative_to(package)))
+    at = f"{shared_dir(spark)}/{package.name}-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(at)
+    _SHIPPED.add(sc.applicationId)
