@@ -48,16 +48,26 @@ def aliases_of(people: list[tuple[str, str | None, str | None]], host: str | Non
     and a speaker of unknown role whose name is the host's or guest's has that role.
     """
     by_role = {"host": host, "guest": guest}
+    named = {voice_key(name) for _, _, name in people} - {None}
+    # A manifest name that is no speaker's display name belongs to the one nameless speaker of its role.
+    nameless: dict[str, list[str]] = {}
+    for label, role, name in people:
+        if not voice_key(name):
+            nameless.setdefault(role or "unknown", []).append(label)
+    given: dict[str, str] = {}
+    for role, name in by_role.items():
+        if voice_key(name) and voice_key(name) not in named and len(nameless.get(role, ())) == 1:
+            given[nameless[role][0]] = name
     owners: dict[str, set[str]] = {}
     taken = {role for _, role, _ in people if role and role != "unknown"}
     for label, role, name in people:
-        names = [n for n in (name, by_role.get(role or "")) if n]
-        if (not role or role == "unknown") and name:
-            role = next((r for r, n in by_role.items() if n and r not in taken and voice_key(n) == voice_key(name)), role)
+        names = [n for n in (name, given.get(label)) if n]
+        if (not role or role == "unknown") and names:
+            role = next((r for r, n in by_role.items() if n and r not in taken and voice_key(n) == voice_key(names[0])), role)
         for key in alias_keys(label, role, names):
             owners.setdefault(key, set()).add(label)
     out = {key: next(iter(labels)) for key, labels in owners.items() if len(labels) == 1}
-    unnamed = [label for label, role, name in people if not voice_key(name) and not voice_key(by_role.get(role or ""))]
+    unnamed = [label for label, _, name in people if not voice_key(name) and label not in given]
     if len(unnamed) == 1 and len(people) > 1:
         out[UNNAMED] = unnamed[0]  # a strange name can only be this speaker's
     return out
