@@ -82,8 +82,10 @@ def features(text: str | None) -> list[float]:
     if open_:
         sentences.append(open_)
     raw = [w for s in sentences for w in s]
-    # Names say nothing about difficulty: capitalised words inside a sentence are left out.
+    # Names say nothing about difficulty: capitalised words are left out, unless the text is in capitals or title case.
     words = [w.lower() for i, w in enumerate(raw) if i == 0 or not w[0].isupper()]
+    if 2 * len(words) < len(raw):
+        words = [w.lower() for w in raw]
     if not words:
         return [0.0] * N_FEATURES
     picked = LEXICON.pick(words)
