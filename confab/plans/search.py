@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.config import PREFIXES, SearchOptions, Settings
-from confab.functions.vectors import hash_embedding
+from confab.functions.vectors import dot, hash_embedding
 from confab.operators import fusion, index, moments, querying, retrieval
 from confab.session import stage
 
 RESULT = ("query_id", "rank", "id", "file_id", "title", "utterance_id", "speaker", "role", "speaker_name", "start_sec", "end_sec", "match_time", "text", "highlights", "score", "ranks")
+MARKS = "array<struct<from:int,to:int,at:double>>"
 
 
 @dataclass
 class Index:
     """The tables a search reads. chunks: id, file_id, idx, start_sec, end_sec, utt_start, utt_end, speakers, text,
-    embedding; utterances: id, file_id, idx, speaker, start_sec, end_sec, text, words."""
+    embedding; utterances: id, file_id, idx, speaker, start_sec, end_sec, text, words, lexemes, embedding. Vectors have
+    unit length."""
 
     chunks: DataFrame
     utterances: DataFrame
@@ -37,10 +39,12 @@ class Index:
 def build_index(chunks: DataFrame, utterances: DataFrame, speakers: DataFrame, manifest: DataFrame, analyzer: str = "simple", profile: str = "hash") -> Index:
     """All index tables, written to the shared folder and read again; vectors come from the deterministic embedder over embed_text."""
     embedded = stage(chunks.withColumn("embedding", hash_embedding(F.col("embed_text"), PREFIXES[profile][1])))
+    said = utterances.select("id", "file_id", "idx", "speaker", "start_sec", "end_sec", "text", "words")
+    said = stage(said.withColumns({"lexemes": index.ANALYZERS[analyzer](F.col("text")), "embedding": hash_embedding(F.col("text"), PREFIXES[profile][1])}))
     occurrences = stage(index.occurrences(embedded, analyzer))
     posted = stage(occurrences.groupBy("lexeme", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf")))
     lengths = stage(index.doc_lengths(embedded, posted))
-    return Index(embedded, utterances, speakers, manifest, occurrences, posted, stage(index.term_stats(posted)), lengths, stage(index.corpus_stats(lengths)), stage(index.vocabulary(embedded)), analyzer, profile)
+    return Index(embedded, said, speakers, manifest, occurrences, posted, stage(index.term_stats(posted)), lengths, stage(index.corpus_stats(lengths)), stage(index.vocabulary(embedded)), analyzer, profile)
 
 
 def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions(), settings: Settings = Settings(), lexicon: list[str] | None = None) -> DataFrame:
@@ -96,7 +100,7 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
     pooled = stage(fused.where(F.col("position") <= pool))
 
     passages = pooled.join(ix.chunks.select("id", "file_id", F.col("start_sec").alias("chunk_start"), F.col("end_sec").alias("chunk_end"), "utt_start", "utt_end"), "id").join(vectors.select("query_id", "q_intent", "q_role", "q_speaker", F.col("embedding").alias("q_vector")), "query_id")
-    said = ix.utterances.select("file_id", "idx", F.col("id").alias("utterance_id"), "speaker", F.col("start_sec").alias("utt_start_sec"), F.col("end_sec").alias("utt_end_sec"), "text", "words")
+    said = ix.utterances.select("file_id", "idx", F.col("id").alias("utterance_id"), "speaker", F.col("start_sec").alias("utt_start_sec"), F.col("end_sec").alias("utt_end_sec"), "text", *(("lexemes", "embedding") if options.snap else ()))
     matched = lexemes.groupBy("query_id").agg(F.collect_set("lexeme").alias("q_lexemes"))
     roles = ix.speakers.select("file_id", F.col("label").alias("speaker"), F.coalesce(F.lower(F.trim("role")), F.lit("unknown")).alias("role"), F.col("display_name").alias("speaker_name")).dropDuplicates(["file_id", "speaker"])
     if options.snap:
@@ -104,17 +108,19 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
     else:
         rows = passages.withColumn("idx", F.col("utt_start")).join(said, ["file_id", "idx"])
     rows = rows.join(roles, ["file_id", "speaker"], "left").withColumn("role", F.coalesce("role", F.lit("unknown")))
-    rows = rows.where("(q_role is null or role = q_role) and (q_speaker is null or speaker = q_speaker)" if options.snap else "true").join(matched, "query_id", "left")
+    rows = rows.where("(q_role is null or role = q_role) and (q_speaker is null or speaker = q_speaker)" if options.snap else "true")
     if options.snap:
-        rows = rows.withColumns({"lexemes": index.ANALYZERS[ix.analyzer](F.col("text")), "embedding": hash_embedding(F.col("text"), PREFIXES[ix.profile][1])})
         lexical = F.when(F.col("q_intent").isin("keyword", "phrase"), 0.8).otherwise(0.5) if options.mode != "semantic" else F.lit(0.3)
-        rows = moments.snap(rows, moments.lexeme_gains(lexemes, ix.stats, ix.corpus), lexical)
-        rows = rows.withColumn("marks", moments.highlight(F.col("words"), F.coalesce("q_lexemes", F.array().cast("array<string>"))))
-        rows = rows.withColumn("match_time", F.coalesce(F.get("marks", F.lit(0))["at"], F.col("utt_start_sec")))
-    else:
-        rows = rows.withColumns({"marks": F.array().cast("array<struct<from:int,to:int,at:double>>"), "match_time": F.col("chunk_start")})
+        similar = dot(F.col("q_vector"), F.col("embedding"))
+        rows = moments.snap(rows, moments.lexeme_gains(lexemes, ix.stats, ix.corpus), lexical, similar).drop("lexemes", "embedding", "q_vector")
     kept = moments.suppress(rows, settings.nms_gap, settings.nms_overlap) if options.nms else rows
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("rank") <= k)
+    if options.snap:  # words are fetched and marked for the moments that are shown only
+        ranked = ranked.join(ix.utterances.select("file_id", "idx", "words"), ["file_id", "idx"], "left").join(matched, "query_id", "left")
+        ranked = ranked.withColumn("marks", F.coalesce(moments.highlight(F.col("words"), F.coalesce("q_lexemes", F.array().cast("array<string>"))), F.array().cast(MARKS)))
+        ranked = ranked.withColumn("match_time", F.coalesce(F.get("marks", F.lit(0))["at"], F.col("utt_start_sec")))
+    else:
+        ranked = ranked.withColumns({"marks": F.array().cast(MARKS), "match_time": F.col("chunk_start")})
     titled = ranked.join(ix.manifest.groupBy("file_id").agg(F.max("title").alias("title")), "file_id", "left")
     return titled.select(
         "query_id", "rank", "id", "file_id", F.coalesce("title", "file_id").alias("title"), "utterance_id", "speaker", "role", "speaker_name",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         return at
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="confab-")
+    folder = tempfile.mkdtemp(prefix="confab-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", at)
     return at
 
