@@ -694,6 +694,10 @@ def k_sliding_counts(spark, at):  # noqa: ANN001, ANN201
     return naive(streaming.sliding_counts(raw(spark, at, "events")), "from_ts")
 
 
-FLAGSHIP = g_hybrid_search
+def FLAGSHIP(spark: SparkSession, at: str) -> DataFrame:  # noqa: N802
+    """The default search over all labelled queries of the folder."""
+    queries = base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), "query")
+    return _flat(plan.search(_index(spark, at), queries, SYSTEMS["full"]))
+
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
