@@ -665,10 +665,10 @@ def d17_pivot_by_system(spark, at):  # noqa: ANN001, ANN201
 
 @query()
 def e21_i7_error_rates(spark, at):  # noqa: ANN001, ANN201
-    """Utterances as the reference of their recording's words."""
-    reference = base(spark, at, "utterances", "file_id", "start_sec", "speaker", "text").select("file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("start_sec")).alias("turn"), F.coalesce("speaker", F.lit("?")).alias("speaker"), "text")
-    short = base(spark, at, "manifest", "excerpt").where("excerpt.end_sec <= 300").select("file_id")
-    return alignment.error_rates(reference.join(short, "file_id", "left_semi"), base(spark, at, "words").join(short, "file_id", "left_semi"))
+    """Utterances as the reference of their recording's words, for every recording."""
+    reference = base(spark, at, "utterances", "file_id", "start_sec", "speaker", "text").where("file_id is not null")
+    reference = reference.select("file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("start_sec", "id")).alias("turn"), F.coalesce("speaker", F.lit("?")).alias("speaker"), "text")
+    return alignment.error_rates(reference, base(spark, at, "words").where("file_id is not null"))
 
 
 # K: events.

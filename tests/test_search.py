@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from confab import catalogue
 from confab.config import SYSTEMS, SearchOptions, Settings
 from confab.functions import phonetics, stem
 from confab.functions.text import tokenise
@@ -146,6 +147,28 @@ def test_error_rates(spark):
     assert alignment.overall(spark.createDataFrame([(90, 0.1, 1.0), (10, 0.2, 0.0)], "ref_words int, wer double, speaker_accuracy double")).first().wer == pytest.approx(0.11)
 
 
+def test_error_rates_of_long_recordings(spark, small):
+    rnd = random.Random(21)
+    said = [str(rnd.randrange(900)) for _ in range(30_000)]
+    gone = set(rnd.sample(range(30_000), 300))
+    assert alignment.align(said, [w for i, w in enumerate(said) if i not in gone])[:3] == (0, 300, 0)
+    for _ in range(60):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(0, 150))] for _ in range(2))
+        cost = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, cost[0] = cost[0], i
+            for j, y in enumerate(b, 1):
+                left, cost[j] = cost[j], min(left + (x != y), cost[j] + 1, cost[j - 1] + 1)
+        subs, dels, ins, pairs = alignment.align(a, b)
+        assert subs + dels + ins == cost[-1] and len(pairs) == len(a) - dels == len(b) - ins and sum(a[i] != b[j] for i, j in pairs) == subs
+    # Many voices: every label gets the name it agrees with.
+    assert alignment.best_mapping([(f"n{i}", f"l{39 - i}") for i in range(40)])[0] == 1.0
+    # Every recording has a row, long ones and those without excerpt included.
+    rows = catalogue.e21_i7_error_rates(spark, small).collect()
+    files = {r.file_id for t in ("utterances", "words") for r in spark.read.parquet(f"{small}/{t}.parquet").select("file_id").distinct().collect()} - {None}
+    assert {r.file_id for r in rows} == files
+
+
 def test_voices():
     people = [("SPEAKER_00", "host", "Ada Bell"), ("SPEAKER_01", "guest", None), ("SPEAKER_02", "unknown", "Ada Dorn")]
     resolve = resolver(aliases_of(people, "Ada Bell", "Eve Fox"))
