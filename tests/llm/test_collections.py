@@ -72,6 +72,15 @@ def test_overlap(spark, monkeypatch):
     assert overlap.cross_split_pairs(spark.createDataFrame([], GOLDEN)).count() == 0
 
 
+def test_overlap_report_counts_every_shared_recording(spark):
+    both = [("f", 10.0, 20.0, 1, None), ("g", 5.0, 9.0, 1, None)]
+    rows = [("a1", "what Ada said about the ramp chain", "q", "train", None, both, 1, 1), ("a2", "what Ada said about the ramp chain", "q", "dev", None, [*both, ("h", 1.0, 2.0, 1, None)], 1, 1)]
+    golden = spark.createDataFrame(rows, GOLDEN)
+    assert [(r.id_a, r.id_b, r.file_id, r.file_ids) for r in overlap.cross_split_pairs(golden).collect()] == [("a1", "a2", "f", ["f", "g"])]
+    report = {(r.split, r.file_id): (r.queries, r.held, r.pairs) for r in overlap.overlap_report(golden).collect()}
+    assert report == {("dev", "f"): (1, 1, 1), ("dev", "g"): (1, 1, 1), ("dev", "h"): (1, 0, 0)}
+
+
 def test_shared_spans_are_maximal_matches():
     rnd = random.Random(4)
     texts = ["".join(rnd.choice("ab") for _ in range(30)) for _ in range(4)]
