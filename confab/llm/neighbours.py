@@ -25,6 +25,8 @@ CELL, FEWEST, MOST, PER_CELL = 300, 1, 8192, 32
 BOOKS, WORDS, BEAM, PROBES, RERANK = 8, 16, 3, 4, 24
 #: Rows or queries of a cell in one block.
 BLOCK = 8192
+#: Without a floor a query asks in so many cells for each root of their number; a task holds about GROUP neighbouring cells.
+SPREAD, GROUP = 1.25, 16
 ROUNDS = 8
 
 
@@ -126,10 +128,11 @@ def vectors(table: DataFrame, key: str, column: str, order: str | None) -> DataF
     return table.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.when(usable, F.xxhash64(v, F.size(v))).alias("code"), v.alias("vector"), at.alias("at"))
 
 
-def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: float, probes: int = PROBES) -> DataFrame:
+def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: float, probes: int | None = PROBES) -> DataFrame:
     """(code, other, cosine): for each vector its k most similar among the candidates, if their cosine is floor or more.
 
-    reps: (code, vector), distinct vectors of one dimension; n: their number, which sets the number of cells.
+    reps: (code, vector), distinct vectors of one dimension; n: their number, which sets the number of cells;
+    probes: cells asked, None for a number that grows with them, so that recall holds for vectors without close ones.
     """
     spark = reps.sparkSession
     cells = max(FEWEST, min(MOST, n // CELL))
@@ -142,6 +145,13 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
     seen = np.bincount(books.value.probes(sample, 1)[:, 0], minlength=len(books.value.cells))
     blocks = np.maximum(1, np.ceil(seen / len(sample) * n / BLOCK)).astype(int)
     crowded = bool((blocks > 1).any())
+    # Where many cells are asked, a vector goes once to each group of neighbouring cells.
+    groups = None
+    if probes is None:
+        probes = max(PROBES, int(np.ceil(SPREAD * len(blocks) ** 0.5)))
+        if not crowded:
+            centres = kmeans(books.value.cells, max(1, len(blocks) // GROUP), np.random.default_rng(7))
+            groups = nearest(books.value.cells, centres)
     columns = ["cell", "block", "side", "role", "code", "vector"]
     routed = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("role", pa.int8()), ("code", pa.int64()), ("vector", pa.binary(4 * dimension))])
 
@@ -153,6 +163,14 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
                 continue
             asked = books.value.probes(x, probes)
             # Rows of role 3 are kept and ask, of role 2 only ask, of role 1 are only kept.
+            if groups is not None:
+                into = groups[asked]
+                new = np.ones(into.shape, dtype=bool)
+                for j in range(1, into.shape[1]):
+                    new[:, j] = (into[:, :j] != into[:, j : j + 1]).all(1)
+                row, place = np.nonzero(new)
+                yield routes(into[row, place], np.zeros(len(row)), np.zeros(len(row)), np.where(place == 0, 3, 2), code[row], x[row])
+                continue
             row = np.repeat(np.arange(len(x)), asked.shape[1])
             cell, role = asked.ravel(), np.where(np.tile(np.arange(asked.shape[1]), len(x)) == 0, 3, 2)
             block = side = np.zeros(len(row), dtype=int)
@@ -170,8 +188,11 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
                 block, side = np.concatenate([block_ask, own(hold)]), np.concatenate([own(ask), side_hold])
                 role = np.concatenate([np.full(len(ask), 2), np.full(len(hold), 1)])
                 row, cell = row[pick], cell[pick]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dimension), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(role.astype(np.int8)), pa.array(code[row]), raw.cast(pa.binary())], names=columns)
+            yield routes(cell, block, side, role, code[row], x[row])
+
+    def routes(cell, block, side, role, code, x) -> pa.RecordBatch:  # noqa: ANN001
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dimension), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(role.astype(np.int8)), pa.array(code), raw.cast(pa.binary())], names=columns)
 
     def look(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
@@ -183,6 +204,8 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
         if not len(held) or not len(ask):
             return empty
         b = books.value
+        if groups is not None:
+            return look_around(b, code, x, held, ask)
         codes, norms = b.encode(x[held], np.full(len(held), cell))
         parts = []
         for i in range(0, len(ask), 4096):
@@ -196,6 +219,26 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
             parts.append(pa.table([pa.array(code[rows][r]), pa.array(np.take_along_axis(other, best, 1)[r, c]), pa.array(top[r, c])], schema=found))
         return pa.concat_tables(parts)
 
+    def look_around(b: Codebooks, code: np.ndarray, x: np.ndarray, held: np.ndarray, ask: np.ndarray) -> pa.Table:
+        """The k best of a group's cells for each vector that asks in some of them."""
+        asked = np.concatenate([b.probes(x[i : i + 4096], probes) for i in range(0, len(x), 4096)])
+        best, whose = np.full((len(x), k), -2, dtype=np.float32), np.zeros((len(x), k), dtype=np.int64)
+        for cell in np.unique(asked[held, 0]):
+            own = held[asked[held, 0] == cell]
+            codes, norms = b.encode(x[own], np.full(len(own), cell))
+            rows = ask[(asked[ask] == cell).any(1)]
+            for part in np.array_split(rows, len(rows) // 4096 + 1):
+                if not len(part):
+                    continue
+                picked, cosine = b.search(x[part], cell, codes, norms, x[own], max(RERANK, 4 * k))
+                other = code[own][picked]
+                cosine[(other == code[part][:, None]) | (cosine < floor)] = -2
+                cosine, other = np.concatenate([best[part], cosine], axis=1), np.concatenate([whose[part], other], axis=1)
+                first = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                best[part], whose[part] = np.take_along_axis(cosine, first, 1), np.take_along_axis(other, first, 1)
+        r, c = np.nonzero(best > -2)
+        return pa.table([pa.array(code[r]), pa.array(whose[r, c]), pa.array(best[r, c])], schema=found)
+
     found = pa.schema([("code", pa.int64()), ("other", pa.int64()), ("cosine", pa.float32())])
     spread = reps.mapInArrow(route, "cell int, block int, side int, role tinyint, code bigint, vector binary")
     hits = spread.groupBy("cell", "block", "side").applyInArrow(look, "code bigint, other bigint, cosine float")
@@ -203,7 +246,7 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
     return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
-def nearest_ids(table: DataFrame, key: str = "id", column: str = "embedding", order: str | None = "indexed_at", k: int = 5, floor: float = -1.0, probes: int = PROBES) -> DataFrame:
+def nearest_ids(table: DataFrame, key: str = "id", column: str = "embedding", order: str | None = "indexed_at", k: int = 5, floor: float = -1.0, probes: int | None = PROBES) -> DataFrame:
     """(id, other, cosine): the k most similar other ids of every id, with a cosine of at least `floor`.
 
     Ties go to the smaller id. Of a repeated id the row with the latest `order` counts. Null, all-zero and not finite

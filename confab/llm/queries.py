@@ -49,6 +49,12 @@ def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, at, "utterances"), "utterances").unionByName(neighbours.similar_pairs(table(spark, at, "chunks"), "chunks"))
 
 
+def p3_nearest(spark: SparkSession, at: str) -> DataFrame:
+    """The k most similar others of every utterance and chunk, however far."""
+    near = lambda unit: neighbours.nearest_ids(table(spark, at, unit), probes=None).select(F.lit(unit).alias("unit"), "id", "other", "cosine")
+    return near("utterances").unionByName(near("chunks"))
+
+
 def p4_pieces(spark: SparkSession, at: str) -> DataFrame:
     return splitting.split_oversized(table(spark, at, "chunks"), table(spark, at, "utterances"))
 
@@ -120,7 +126,7 @@ def p10_found(spark: SparkSession, at: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_runs, p2_found, p2_turns, p2_utterances, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_ranking,
+        p1_found, p1_runs, p2_found, p2_turns, p2_utterances, p3_found, p3_nearest, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_ranking,
         p7_found, p7_terms, p7_ngrams, p8_found, p8_bins, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_levels,
     )
 }

@@ -50,6 +50,25 @@ def test_copies_are_one_class(spark):
     assert neighbours.nearest_ids(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_every_vector_has_its_nearest_without_floor(spark, small):
+    from confab.llm import queries
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(f"v{i:05d}", v.tolist(), None, 1, "c", 2) for i, v in enumerate(x)], VECTORS)
+    got = defaultdict(set)
+    for r in neighbours.nearest_ids(table, probes=None).collect():
+        got[r.id].add(r.other)
+    assert len(got) == len(x) and all(len(o) == 5 for o in got.values())
+    s = x[:500] @ x.T
+    s[np.arange(500), np.arange(500)] = -2
+    true = np.argsort(-s, axis=1)[:, :5]
+    assert sum(f"v{j:05d}" in got[f"v{i:05d}"] for i in range(500) for j in true[i]) >= 0.9 * 2500
+    rows = queries.QUERIES["p3_nearest"](spark, small).groupBy("unit", "id").count().collect()
+    assert {r.unit for r in rows} == {"utterances", "chunks"} and all(r["count"] == 5 for r in rows)
+
+
 GOLDEN = "id string, query string, category string, split string, role string, relevant array<struct<file:string,start_sec:double,end_sec:double,grade:int,quote:string>>, side int, text int"
 
 
