@@ -68,6 +68,26 @@ LEXICON = _Lexicon()
 N_FEATURES = 18
 
 
+#: Words in a window of the type-token ratio.
+WINDOW = 100
+
+
+def variety(words: list[str]) -> float:
+    """Mean type-token ratio of all windows of WINDOW neighbouring words; of a shorter text the ratio itself."""
+    n = len(words)
+    if n <= WINDOW:
+        return len(set(words)) / max(1, n)
+    last: dict[str, int] = {}
+    before = []
+    for t, w in enumerate(words):
+        before.append(last.get(w, -1))
+        last[w] = t
+    # A word counts in the windows that hold it and not its previous occurrence.
+    t = np.arange(n)
+    opens = np.maximum(np.array(before) + 1, np.maximum(t - WINDOW + 1, 0))
+    return int(np.maximum(0, np.minimum(t, n - WINDOW) - opens + 1).sum()) / (WINDOW * (n - WINDOW + 1))
+
+
 def features(text: str | None) -> list[float]:
     """Distribution figures of a text; zeros for a text without words. One pass over words and sentence ends."""
     sentences: list[list[str]] = []
@@ -97,10 +117,9 @@ def features(text: str | None) -> list[float]:
     spread = (sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5
     stems = [s for s in ({w.lower() for w in s if len(w) > 3} for s in sentences) if s]
     shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(stems, stems[1:])]
-    head = words[:100]
     return [
         length, max(0.0, square - length * length) ** 0.5, float(by_length[(3 * n) // 4]), float(by_length[(9 * n) // 10]), seven, ten, three, beats, beats3, beats4,
-        len(set(head)) / len(head), learned, min(float(sizes[len(sizes) // 2]), 60.0), min(spread, 60.0), ties, body.count(",") / n, small, sum(shared) / len(shared) if shared else 0.0,
+        variety(words), learned, min(float(sizes[len(sizes) // 2]), 60.0), min(spread, 60.0), ties, body.count(",") / n, small, sum(shared) / len(shared) if shared else 0.0,
     ]
 
 

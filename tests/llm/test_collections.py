@@ -241,6 +241,16 @@ def test_reading_levels(spark, small):
     assert all(r.grade is None for r in reading.reading_levels(docs, samples.limit(0)).collect())
 
 
+def test_variety_is_of_the_whole_text():
+    rnd = random.Random(10)
+    for n in (1, 99, 100, 101, 350):
+        words = [rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice("abc") for _ in range(n)]
+        windows = [words[i : i + 100] for i in range(max(1, n - 99))]
+        assert reading.variety(words) == pytest.approx(sum(len(set(w)) / len(w) for w in windows) / len(windows))
+    head = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    assert reading.features(head + " again" * 300)[10] < 0.5 * reading.features(head)[10]
+
+
 def test_forest_lowers_the_error():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 3))
