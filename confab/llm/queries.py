@@ -120,7 +120,7 @@ def p10_levels(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
-    return p10_levels(spark, at).where(F.col("band").isin("primary", "expert")).select("doc_id", "band")
+    return p10_levels(spark, at).where((F.col("lang") == "en") & F.col("band").isin("primary", "expert")).select("doc_id", "band")
 
 
 QUERIES = {

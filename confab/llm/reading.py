@@ -213,11 +213,14 @@ def train_on(samples: DataFrame) -> Grader | None:
 
 
 def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en") -> DataFrame:
-    """(doc_id, source, grade, band) of every document of the language: grade from 0 (primary) to 3 (expert), calibrated,
-    and the nearest band. Null and wordless texts have null grade and band, and so have all without graded samples; of a repeated doc_id the greatest text counts;
-    rows without doc_id take no part."""
+    """(doc_id, source, lang, grade, band, reason) of every document: grade from 0 (primary) to 3 (expert), calibrated, and
+    the nearest band. Without grade and band the reason is `language` (another than the samples', or none), `samples` (none
+    to learn from) or `words` (none in the text); of a repeated doc_id the greatest text counts, those of the language
+    first; rows without doc_id take no part."""
     grader = train_on(samples)
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.lower(F.trim("lang")) == lang)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
+    spoken = F.coalesce(F.lower(F.trim("lang")) == lang, F.lit(False))
+    known = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", F.lower(F.trim("lang")).alias("lang"), spoken.alias("spoken"))
+    texts = known.where("spoken").select("doc_id", "source", "text")
     measured = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("grade", pa.float64()), ("band", pa.string())])
 
     def grade(batches):  # noqa: ANN001, ANN202
@@ -235,8 +238,11 @@ def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en") -
             )
 
     graded = texts.mapInArrow(grade, "doc_id bigint, source string, size bigint, grade double, band string")
-    one = graded.groupBy("doc_id").agg(F.max(F.struct("size", "grade", "band", "source")).alias("d"))
-    return one.select("doc_id", "d.source", "d.grade", "d.band")
+    reason = F.when(F.col("grade").isNull(), F.lit("words" if grader else "samples"))
+    graded = graded.select("doc_id", "source", F.lit(lang).alias("lang"), F.lit(True).alias("spoken"), "size", "grade", "band", reason.alias("reason"))
+    others = known.where("not spoken").select("doc_id", "source", "lang", "spoken", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"), F.lit(None).cast("double").alias("grade"), F.lit(None).cast("string").alias("band"), F.lit("language").alias("reason"))
+    one = graded.unionByName(others).groupBy("doc_id").agg(F.max(F.struct("spoken", "size", "grade", "band", "source", "lang", "reason")).alias("d"))
+    return one.select("doc_id", "d.source", "d.lang", "d.grade", "d.band", "d.reason")
 
 
 def grader_report(spark: SparkSession, samples: DataFrame) -> DataFrame:

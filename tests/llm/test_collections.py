@@ -241,6 +241,16 @@ def test_reading_levels(spark, small):
     assert all(r.grade is None for r in reading.reading_levels(docs, samples.limit(0)).collect())
 
 
+def test_every_document_has_a_level(spark, small):
+    samples = spark.read.parquet(f"{small}/graded_samples.parquet")
+    text = samples.first().text
+    langs = {1: " EN", 2: "fr", 3: None, 4: "en"}
+    rows = [(k, None if k == 4 else text, lang, "s", 9, "b", 1, 1, "x") for k, lang in langs.items()] + [(1, text * 3, "fr", "s", 9, "b", 1, 1, "x")]
+    found = {r.doc_id: r for r in reading.reading_levels(spark.createDataFrame(rows, DOCS), samples).collect()}
+    assert {k: r.reason for k, r in found.items()} == {1: None, 2: "language", 3: "language", 4: "words"}
+    assert [k for k, r in found.items() if r.grade is not None and r.band] == [1]
+
+
 def test_variety_is_of_the_whole_text():
     rnd = random.Random(10)
     for n in (1, 99, 100, 101, 350):
