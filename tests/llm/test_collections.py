@@ -84,7 +84,7 @@ def test_overlap(spark, monkeypatch):
     golden = spark.createDataFrame(rows, GOLDEN)
     pairs = lambda: {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(golden).collect()}
     assert pairs() == {("a1", "a2"), ("a1", "a4")}
-    monkeypatch.setattr(overlap, "PART", 2)
+    monkeypatch.setattr(overlap, "STRETCH", 3.0)
     assert pairs() == {("a1", "a2"), ("a1", "a4")}
     report = {(r.split, r.file_id): (r.queries, r.held, r.pairs) for r in overlap.overlap_report(golden).collect()}
     assert report[("dev", "f")] == (1, 1, 1) and report[("test", "f")] == (3, 1, 1) and report[("test", "g")] == (1, 0, 0)
@@ -100,18 +100,49 @@ def test_overlap_report_counts_every_shared_recording(spark):
     assert report == {("dev", "f"): (1, 1, 1), ("dev", "g"): (1, 1, 1), ("dev", "h"): (1, 0, 0)}
 
 
-def test_shared_spans_are_maximal_matches():
+def test_coverage_is_that_of_all_shared_spans():
     rnd = random.Random(4)
-    texts = ["".join(rnd.choice("ab") for _ in range(30)) for _ in range(4)]
-    whole = overlap.shared_spans(texts)
-    parts = defaultdict(list)
-    for p in range(3):
-        for k, v in overlap.shared_spans(texts, p, 3).items():
-            parts[k] += v
-    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in parts.items()}
-    for (i, j), spans in whole.items():
-        for a, b, n in spans:
-            assert texts[i][a : a + n] == texts[j][b : b + n] and n >= overlap.SPAN
+    left, right = (["".join(rnd.choice("ab c") for _ in range(rnd.randrange(0, 40))) for _ in range(60)] for _ in range(2))
+    size, over, missing, covered = overlap.shared_coverage(left, right)
+    at = 0
+    for side, (own, other) in enumerate(((left, right), (right, left))):
+        for k, (a, b) in enumerate(zip(own, other)):
+            x, y = (f"\x02{t.replace(' ', '')}\x03\x03" for t in (a, b))
+            spans = [(i, j) for i in range(len(x)) for j in range(i + overlap.SPAN, len(x) + 1) if x[i:j] in y]
+            held = {c for i, j in spans for c in range(i, j)}
+            n = len(x) - 3
+            assert size[side, k] == n and covered[at : at + n].tolist() == [c + 1 in held for c in range(n)]
+            assert over[side, k] == sum(c + 1 not in held for c in range(n))
+            assert missing[side, k] == len({x[i : i + 4] for i in range(n)} - {y[i : i + 4] for i in range(len(y))})
+            at += n
+
+
+def test_no_pair_is_lost(spark):
+    """Against the decision on all pairs that share a moment."""
+    rnd = random.Random(11)
+    things = ["ramp chain", "signal coil", "crew bunk", "ink roller", "walkway rail"]
+    rows = []
+    for k in range(240):
+        text = f"what guests from Vahaln think about the {rnd.choice(things)} and {rnd.choice(['Lovanarth', 'Elkas', 'Joumsarth'])}"
+        if rnd.random() < 0.5:
+            i = rnd.randrange(len(text))
+            text = text[:i] + rnd.choice("aeiou") + text[i + rnd.randrange(2) :]
+        at = rnd.randrange(0, 900)
+        rows.append((f"q{k:03d}", text, "q", rnd.choice(("train", "dev", "test")), None, [("f", float(at), at + 90.0, 1, None)], 1, 1))
+    golden = spark.createDataFrame(rows, GOLDEN)
+    meet = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if (a[3] == "train") != (b[3] == "train") and abs(a[5][0][1] - b[5][0][1]) < 90]
+    same, _ = overlap.same_questions([overlap.plain(a[1]) for a, _ in meet], [overlap.plain(b[1]) for _, b in meet])
+    truth = {(a[0], b[0]) for (a, b), ok in zip(meet, same) if ok}
+    assert truth and {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(golden).collect()} == truth
+    spelt = lambda row: [t for t in things if t in row[1]]
+    assert not any(spelt(a) and spelt(b) and spelt(a) != spelt(b) for (a, b), ok in zip(meet, same) if ok)
+
+
+def test_names_tell_questions_apart():
+    same = lambda a, b: bool(overlap.same_questions([overlap.plain(a)], [overlap.plain(b)])[0][0])
+    assert same("what Ada said about the ramp chain", "role:host WHAT ADA SAID, exactly, about the ramp-chian?")
+    assert not same("what Ada said about the ramp chain", "what Cyd said about the ramp chain")
+    assert same("load cell", "loadcell") and same("fog horn", "Fog Horn!") and not same("fog horn", "crew bunk") and not same("", "fog")
 
 
 FUSED = "query_id string, id string, ranks map<string,int>, raw map<string,double>, score double, channel int, value string, items int, n int"
