@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confab.functions.voices import ALIAS_TYPE, alias_maps, resolver
+from confab.llm.voices import ALIAS_TYPE, alias_maps, resolver
 from confab.session import stage
 
 CHUNK = 2048

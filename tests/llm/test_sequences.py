@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from confab.llm import runs, splitting, turns
+from confab.llm.voices import aliases_of, resolver
 
 WORDS = "file_id string, word_idx int, text string, start_sec double, end_sec double, prob double, speaker string, speaker_conf double, rows string, chunk int"
 TURNS = "file_id string, idx int, speaker string, start_sec double, end_sec double, utterance_start int, utterance_end int, voice string"
@@ -118,6 +119,30 @@ def test_clock_resets_run_on():
     assert start == pytest.approx([0, 13 / 3, 13 / 3, 13 / 3]) and (end >= start).all()
 
 
+def test_resets_move_all_later_segments(spark, monkeypatch):
+    """Resets inside segments and at their borders, an inconsistent time, and a row without words: the same times and order
+    whatever the segments, equal to those of the whole recording repaired at once."""
+    rnd = random.Random(12)
+    rows, clock = [], 0.0
+    for i in range(240):
+        if i in (30, 61, 100, 180):  # 60 words a segment: borders at 60 words, so some lie inside
+            clock = rnd.uniform(0, 3)
+        late = -4.0 if i == 150 else 0.0
+        rows.append(said(f"u{i:03d}", rnd.choice(("host", "guest")), clock + late, "Words of mine.", 2 * i, 2))
+        clock += rnd.uniform(5, 9)
+    rows.append(("lost", "f", 999, "host", 55.0, 56.0, "No words.", None, None, None, 1, "v"))
+    table, words, people = spark.createDataFrame(rows, UTTERANCES), spark.createDataFrame([], WORDS), spark.createDataFrame(PEOPLE, SPEAKERS)
+    start, end = turns.repair_times(np.array([r[4] for r in rows[:-1]]), np.array([r[5] for r in rows[:-1]]))
+    assert (np.diff(start) >= 0).all() and start[-1] > 1300
+    for size in (60, 4096):
+        monkeypatch.setattr(turns, "SEGMENT", size)
+        found = sorted(turns.clean_utterances(table, words, people).collect(), key=lambda r: (r.chunk, r.pos))
+        times = {r.id: (r.start_sec, r.end_sec) for r in found}
+        assert len(found) == 241 and [r.start_sec for r in found] == sorted(r.start_sec for r in found)
+        for r, s, e in zip(rows, start, end):
+            assert times[r[0]] == pytest.approx((s, e))
+
+
 CHUNKS = "id string, file_id string, text string, utt_start int, utt_end int, n_words int, doc_len int, parts string, piece int"
 
 
@@ -152,3 +177,9 @@ def test_doubling_follows_the_successors():
             walked.add(i)
             i = int(follow[i])
         assert set(np.flatnonzero(splitting.greedy_starts(follow, np.array([0])))) - {n} == walked
+
+
+def test_voices():
+    people = [("SPEAKER_00", "host", "Ada Bell"), ("SPEAKER_01", "guest", None), ("SPEAKER_02", "unknown", "Ada Dorn")]
+    resolve = resolver(aliases_of(people, "Ada Bell", "Eve Fox"))
+    assert [resolve(x) for x in ("spk_0", "Bell", "[Host]", "FOX, EVE", "SPEAKER 02:", "Ada")] == ["SPEAKER_00", "SPEAKER_00", "SPEAKER_00", "SPEAKER_01", "SPEAKER_02", "?ada"]
