@@ -12,7 +12,6 @@ from confab.config import SYSTEMS, SearchOptions, Settings
 from confab.functions import phonetics, stem
 from confab.functions.text import tokenise
 from confab.functions.vectors import hash_vector
-from confab.functions.voices import aliases_of, resolver
 from confab.operators import alignment, evaluation, fusion, index, moments, querying, retrieval
 from confab.plans import search as plan
 from confab.sources import transcripts
@@ -169,12 +168,6 @@ def test_error_rates_of_long_recordings(spark, small):
     assert {r.file_id for r in rows} == files
 
 
-def test_voices():
-    people = [("SPEAKER_00", "host", "Ada Bell"), ("SPEAKER_01", "guest", None), ("SPEAKER_02", "unknown", "Ada Dorn")]
-    resolve = resolver(aliases_of(people, "Ada Bell", "Eve Fox"))
-    assert [resolve(x) for x in ("spk_0", "Bell", "[Host]", "FOX, EVE", "SPEAKER 02:", "Ada")] == ["SPEAKER_00", "SPEAKER_00", "SPEAKER_00", "SPEAKER_01", "SPEAKER_02", "?ada"]
-    assert resolve(None) is None and resolve(" :") is None
-
 
 def test_incremental_index_equals_recomputation(spark, small):
     chunks = spark.read.parquet(f"{small}/chunks.parquet").select("id", "file_id", "text").dropDuplicates(["id"])
