@@ -45,6 +45,11 @@ def p2_utterances(spark: SparkSession, at: str) -> DataFrame:
     return turns.clean_utterances(*_conversation(spark, at)).select("file_id", "id", "label", "start_sec", "end_sec", "text")
 
 
+def p2_times(spark: SparkSession, at: str) -> DataFrame:
+    """Repaired times of every utterance, spoken or not."""
+    return turns.clean_utterances(*_conversation(spark, at), unspoken=True).select("file_id", "id", "start_sec", "end_sec")
+
+
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, at, "utterances"), "utterances").unionByName(neighbours.similar_pairs(table(spark, at, "chunks"), "chunks"))
 
@@ -60,7 +65,7 @@ def p4_pieces(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
-    return p4_pieces(spark, at).select("id").distinct()
+    return p4_pieces(spark, at).where("n_pieces > 1").select("id").distinct()
 
 
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
@@ -96,7 +101,7 @@ def p8_bins(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
-    return p8_bins(spark, at).where("split").select("doc_id").distinct()
+    return packing.divided(p8_bins(spark, at))
 
 
 def p8_report(spark: SparkSession, at: str) -> DataFrame:
@@ -104,7 +109,8 @@ def p8_report(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, at: str) -> DataFrame:
-    return mixing.allocation(table(spark, at, "documents"), table(spark, at, "mix_targets")).where("not reaches").select("source")
+    """Sources that water-filling clamps in its first round."""
+    return mixing.allocation(mixing.sized_sources(table(spark, at, "documents")), table(spark, at, "mix_targets")).where("clamped = 1").select("source")
 
 
 def p9_mix(spark: SparkSession, at: str) -> DataFrame:
@@ -119,6 +125,10 @@ def p10_levels(spark: SparkSession, at: str) -> DataFrame:
     return reading.reading_levels(table(spark, at, "documents"), table(spark, at, "graded_samples"))
 
 
+def p10_sources(spark: SparkSession, at: str) -> DataFrame:
+    return reading.levels_by_source(table(spark, at, "documents"), table(spark, at, "graded_samples"))
+
+
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
     return p10_levels(spark, at).where((F.col("lang") == "en") & F.col("band").isin("primary", "expert")).select("doc_id", "band")
 
@@ -126,8 +136,8 @@ def p10_found(spark: SparkSession, at: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_runs, p2_found, p2_turns, p2_utterances, p3_found, p3_nearest, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_ranking,
-        p7_found, p7_terms, p7_ngrams, p8_found, p8_bins, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_levels,
+        p1_found, p1_runs, p2_found, p2_turns, p2_utterances, p2_times, p3_found, p3_nearest, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_ranking,
+        p7_found, p7_terms, p7_ngrams, p8_found, p8_bins, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_sources,
     )
 }
 

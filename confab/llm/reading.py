@@ -1,8 +1,9 @@
 """Reading level of documents (problem 10).
 
 Method: gradient-boosted regression trees over the distributions of word length, vocabulary, syntax and cohesion,
-trained on graded samples and calibrated by cross-validation. Documents are cleaned before, and the samples are also
-learnt in worn forms (without punctuation, as short extracts), so that markup and missing full stops don't move a grade.
+trained on graded samples and calibrated by cross-validation: folds hold whole sources where the samples name theirs, else
+whole samples. Documents are cleaned before, and the samples are also learnt in worn forms (without punctuation, as short
+extracts), so that markup and missing full stops don't move a grade. Grades are profiled by source of the documents.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from confab.llm.measures import source_key
+
 BANDS = ("primary", "middle", "secondary", "expert")
 #: At most so many graded samples are used for training, those with the smallest ids.
 MOST_SAMPLES = 5000
@@ -189,9 +192,11 @@ class Grader:
         return BANDS[int(np.floor(min(max(grade, 0.0), len(BANDS) - 1.0) + 0.5))]
 
 
-def train(samples: list[tuple[str, str]]) -> Grader:
-    """samples: (text, band); folds hold whole samples with all their worn forms."""
-    forms = [(features(w), BANDS.index(band), i % FOLDS) for i, (text, band) in enumerate(samples) for w in worn(text)]
+def train(samples: list[tuple[str, str]], sources: list[str] | None = None) -> Grader:
+    """samples: (text, band); folds hold whole sources, one after another, or whole samples, with all their worn forms."""
+    number = {s: k for k, s in enumerate(sorted(set(sources)))} if sources else {}
+    fold_of = [number[s] % FOLDS for s in sources] if len(number) > 1 else [i % FOLDS for i in range(len(samples))]
+    forms = [(features(w), BANDS.index(band), fold_of[i]) for i, (text, band) in enumerate(samples) for w in worn(text)]
     x, y, fold = (np.array(c, dtype=float) for c in zip(*forms))
     held = np.zeros(len(y))
     for f in range(FOLDS):
@@ -206,18 +211,19 @@ def train_on(samples: DataFrame) -> Grader | None:
     """Trains on the driver on at most MOST_SAMPLES samples; of a repeated sample_id the greatest text counts; rows with
     null text or another band take no part. None without samples."""
     known = samples.where(F.col("text").isNotNull() & F.col("band").isin(*BANDS))
-    rows = known.groupBy("sample_id").agg(F.max(F.struct("text", "band")).alias("s")).orderBy("sample_id").limit(MOST_SAMPLES).select("s.*").collect()
+    source = F.coalesce(source_key(F.col("source")), F.lit("")) if "source" in samples.columns else F.lit("")
+    rows = known.groupBy("sample_id").agg(F.max(F.struct("text", "band", source.alias("source"))).alias("s")).orderBy("sample_id").limit(MOST_SAMPLES).select("s.*").collect()
     if not rows:
         return None
-    return train([(r["text"], r["band"]) for r in rows])
+    return train([(r["text"], r["band"]) for r in rows], [r["source"] for r in rows])
 
 
-def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en") -> DataFrame:
+def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en", grader: Grader | None = None) -> DataFrame:
     """(doc_id, source, lang, grade, band, reason) of every document: grade from 0 (primary) to 3 (expert), calibrated, and
     the nearest band. Without grade and band the reason is `language` (another than the samples', or none), `samples` (none
     to learn from) or `words` (none in the text); of a repeated doc_id the greatest text counts, those of the language
     first; rows without doc_id take no part."""
-    grader = train_on(samples)
+    grader = grader or train_on(samples)
     spoken = F.coalesce(F.lower(F.trim("lang")) == lang, F.lit(False))
     known = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", F.lower(F.trim("lang")).alias("lang"), spoken.alias("spoken"))
     texts = known.where("spoken").select("doc_id", "source", "text")
@@ -245,7 +251,15 @@ def reading_levels(documents: DataFrame, samples: DataFrame, lang: str = "en") -
     return one.select("doc_id", "d.source", "d.lang", "d.grade", "d.band", "d.reason")
 
 
-def grader_report(spark: SparkSession, samples: DataFrame) -> DataFrame:
-    """One row: cross-validated mean absolute error in grades and share of samples in their band."""
-    g = train_on(samples) or Grader(Forest(), 1.0, 0.0, float("nan"), float("nan"))
-    return spark.createDataFrame([(round(g.error, 6), round(g.accuracy, 6))], "mean_error double, in_band double")
+def levels_by_source(documents: DataFrame, samples: DataFrame, lang: str = "en") -> DataFrame:
+    """A row a source, however spelt (null: none named): documents, how many are graded, their mean grade and quartiles, how
+    many are of each band; and the grader's cross-validated mean error and share in band, the same in all rows."""
+    grader = train_on(samples)
+    levels = reading_levels(documents, samples, lang, grader).withColumn("source", source_key(F.col("source")))
+    quartile = lambda p: F.round(F.percentile_approx("grade", p, 10_000), 3)
+    nan = float("nan")
+    return levels.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("grade").alias("graded"), F.round(F.avg("grade"), 4).alias("mean_grade"), quartile(0.25).alias("low"), quartile(0.5).alias("middle_grade"), quartile(0.75).alias("high"),
+        *(F.count(F.when(F.col("band") == b, 1)).alias(b) for b in BANDS),
+        F.lit(round(grader.error, 6) if grader else nan).alias("mean_error"), F.lit(round(grader.accuracy, 6) if grader else nan).alias("in_band"),
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confab.functions.text import word_count
+from confab.operators.sequence import ABBREVIATIONS
 
 LIMIT, OVERLAP = 120, 20
 #: A piece that is cut at a natural boundary keeps at least this share of the limit; an overlap that starts at one may
@@ -26,8 +27,6 @@ ARROW = pa.schema(
     [("id", pa.string()), ("piece", pa.int32()), ("n_pieces", pa.int32()), ("word_start", pa.int32()), ("word_end", pa.int32()), ("overlap", pa.int32()), ("utt_start", pa.int32()), ("utt_end", pa.int32()), ("natural", pa.bool_()), ("text", pa.string())]
 )
 SENTENCE_END = re.compile(r"[.?!…][\"')\]>»”]*$")
-# Tokens whose full stop ends no sentence.
-ABBREVIATIONS = {"dr.", "mr.", "mrs.", "ms.", "st.", "no.", "vs.", "fig.", "etc.", "e.g.", "i.e.", "jr.", "sr.", "prof."}
 WORD = re.compile(r"\S+")
 
 

@@ -4,7 +4,8 @@ Method: suffix-sorted n-gram counting. Each text's suffixes, truncated to `longe
 are routed by their first term, sorted in reverse lexicographic order and read once with a stack that holds one counter
 and one set of records for each prefix of the current suffix; a prefix is finished when the order leaves it. A very
 frequent first term would make one route hot, so routes also carry a shard of the record: records are whole in a shard,
-so occurrences and record counts of the shards add up.
+so occurrences and record counts of the shards add up. Shards hold a fixed number of records, so a route stays as large,
+however many records there are.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from confab.functions.text import tokenise
 
-#: Shards of records. A route holds at most the suffixes that open with one term in one shard.
-SHARDS = 64
+#: Records of a shard, on average. A route holds at most the suffixes that open with one term in one shard.
+SHARD = 2000
 RARE_BELOW, COMMON_ABOVE = 3, 0.4
 SEPARATOR = " "
 
@@ -66,6 +67,7 @@ def ngram_counts(records: DataFrame, key: str, text: str, longest: int = 1) -> D
     Terms are the lower-case alphanumeric tokens of the NFKC text. A repeated key is one record: the greatest text
     counts. Rows without key take no part; null and empty texts have no terms.
     """
+    shards = max(1, -(-records.count() // SHARD))
     texts = records.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("record")).agg(F.max(text).alias("text"))
 
     def suffixes(batches):  # noqa: ANN001, ANN202
@@ -80,7 +82,7 @@ def ngram_counts(records: DataFrame, key: str, text: str, longest: int = 1) -> D
             yield pa.RecordBatch.from_pydict({"first": first, "suffix": suffix, "record": record, "n": pa.array(n, pa.int64())}, schema=routed)
 
     routed = pa.schema([("first", pa.string()), ("suffix", pa.string()), ("record", pa.string()), ("n", pa.int64())])
-    rows = texts.mapInArrow(suffixes, "first string, suffix string, record string, n bigint").withColumn("shard", F.pmod(F.xxhash64("record"), F.lit(SHARDS)).cast("int"))
+    rows = texts.mapInArrow(suffixes, "first string, suffix string, record string, n bigint").withColumn("shard", F.pmod(F.xxhash64("record"), F.lit(shards)).cast("int"))
     # The separator sorts below every character of a term, so ordering the joined suffixes orders their lists of terms.
     ordered = rows.repartition("first", "shard").sortWithinPartitions("shard", F.desc("suffix"))
 

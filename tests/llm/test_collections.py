@@ -182,6 +182,33 @@ def test_normal_scores(spark):
     assert ranking.normal_scores(spark.createDataFrame([], FUSED)).count() == 0
 
 
+def test_ranks_over_ranges(spark):
+    """One large group and many ties, spread over several ranges."""
+    rnd = random.Random(13)
+    rows = [("big", "c", rnd.choice((0.5, 0.5, rnd.random(), rnd.random())), f"i{k:05d}") for k in range(4000)] + [(f"q{k % 7}", "c", float(k % 3), f"i{k}") for k in range(60)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(rows, "query_id string, channel string, value double, id string")
+        found = ranking.range_ranks(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = defaultdict(list)
+    for q, c, v, i in rows:
+        groups[q].append((v, i))
+    assert len(found) == len(rows)
+    for r in found:
+        own = sorted(groups[r.query_id]) if r.query_id != "big" else None
+        if own is not None:
+            assert r.place == own.index((r.value, r.id)) + 1 and r.below == sum(v < r.value for v, _ in own) and r.ties == sum(v == r.value for v, _ in own) and r.total == len(own)
+    big = sorted(groups["big"])
+    place = {i: k + 1 for k, (_, i) in enumerate(big)}
+    count = Counter(v for v, _ in big)
+    below, total = {}, 0
+    for v in sorted(count):
+        below[v], total = total, total + count[v]
+    assert all((r.place, r.below, r.ties, r.total) == (place[r.id], below[r.value], count[r.value], 4000) for r in found if r.query_id == "big")
+
+
 RECORDS = "id string, text string, first string, suffix int, record int, n int"
 
 
@@ -230,7 +257,8 @@ def test_packing(spark):
         assert sum(n for _, n in spans) == size and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
         assert len(spans) == (1 if 0 < size <= 1024 else -(-size // 1024))
     assert {r.doc_id for r in rows if r.split} == {900, 903}
-    assert packing.fill_report(packed).first().fill > 0.75
+    assert {r.doc_id for r in packing.divided(packed).collect()} == {900, 903}
+    assert packing.fill_report(packed).first().fill > 0.95
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -241,7 +269,7 @@ def test_mixing(spark):
     sources = {k: ("Big One", "small-two", " third ", None)[0 if k < 60 else 1 if k < 70 else 2 if k < 99 else 3] for k in range(100)}
     docs = documents(spark, {k: "w " * 50 for k in range(100)}, sources)
     targets = spark.createDataFrame([("big_one", 1.0, 1, 5), ("SMALL TWO", 3.0, 3, 5), ("third", 2.0, None, 5), ("gone", 1.0, 4, 5), (None, 9.0, 9, 5), ("idle", None, 1, 5)], TARGETS)
-    plan = {r.source: r for r in mixing.allocation(docs, targets).collect()}
+    plan = {r.source: r for r in mixing.allocation(mixing.sized_sources(docs), targets).collect()}
     assert {s for s, r in plan.items() if not r.reaches} == {"gone", "small_two"}
     assert plan["small_two"].allotted == 1500 and plan["gone"].allotted == 0 and plan["idle"].allotted == 0
     assert plan["third"].allotted == pytest.approx(1450) and plan["big_one"].allotted == pytest.approx(99 * 50 - 1500 - 1450)
@@ -250,13 +278,15 @@ def test_mixing(spark):
     assert sorted(map(tuple, copies)) == sorted(map(tuple, mixing.mix(docs, targets).collect()))
     shares = mixing.shares(docs, targets).collect()
     assert sum(r.actual_share for r in shares) == pytest.approx(1, abs=1e-5)
-    assert mixing.mix(spark.createDataFrame([], DOCS), targets).count() == 0 and mixing.allocation(docs, spark.createDataFrame([], TARGETS)).count() == 0
+    assert mixing.mix(spark.createDataFrame([], DOCS), targets).count() == 0 and mixing.allocation(mixing.sized_sources(docs), spark.createDataFrame([], TARGETS)).count() == 0
 
 
 def test_water_fill_keeps_proportions():
     got = mixing.water_fill({"a": 1, "b": 1, "c": 2}, {"a": 10, "b": 100, "c": 35}, 100)
-    assert got == {"a": 10, "c": 35, "b": 55}
-    assert mixing.water_fill({"a": 1, "b": 1}, {"a": 3, "b": 4}, 100) == {"a": 3, "b": 4}
+    assert got == ({"a": 10, "c": 35, "b": 55}, {"a": 1, "c": 1})
+    assert mixing.water_fill({"a": 1, "b": 1}, {"a": 3, "b": 4}, 100) == ({"a": 3, "b": 4}, {"a": 1, "b": 1})
+    # A cap that only the redistributed excess fills is met in a later round.
+    assert mixing.water_fill({"a": 1, "b": 1, "c": 1}, {"a": 3, "b": 35, "c": 100}, 99) == ({"a": 3, "b": 35, "c": 61}, {"a": 1, "b": 2})
 
 
 def test_reading_levels(spark, small):
@@ -282,6 +312,17 @@ def test_every_document_has_a_level(spark, small):
     assert [k for k, r in found.items() if r.grade is not None and r.band] == [1]
 
 
+def test_folds_hold_whole_sources(spark, small):
+    samples = spark.read.parquet(f"{small}/graded_samples.parquet")
+    rows = [(r.text, r.band) for r in samples.collect()]
+    by_source = reading.train(rows, [f"s{i % 7}" for i in range(len(rows))])
+    assert by_source.accuracy > 0.8 and reading.train(rows, ["one"] * len(rows)).accuracy == reading.train(rows).accuracy
+    docs = documents(spark, {k: t for k, (t, _) in enumerate(rows[:8])}, {k: "Big One" if k < 4 else "big-one" if k < 6 else None for k in range(8)})
+    found = {r.source: r for r in reading.levels_by_source(docs, samples).collect()}
+    assert (found["big_one"].documents, found[None].documents) == (6, 2)
+    assert all(r.graded == r.documents == sum(r[b] for b in reading.BANDS) and r.in_band > 0.8 for r in found.values())
+
+
 def test_variety_is_of_the_whole_text():
     rnd = random.Random(10)
     for n in (1, 99, 100, 101, 350):
