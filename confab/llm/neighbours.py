@@ -2,9 +2,9 @@
 
 Method: additive quantisation. A unit vector is approximated by the sum of one word of each of several full-dimensional
 codebooks, learnt on residuals and encoded by beam search; the norm of the approximation is stored with the code. The
-first codebook's words are cells: a vector is kept in the cell of its own first word and asks in the PROBES cells whose
-words fit it best. There, tables of inner products with the codebooks score all vectors of the cell, and the best are
-reranked with the exact cosine.
+words of the first two codebooks name a cell, so the number of cells is the square of what is learnt and broadcast: a
+vector is kept in the cell of its own words and asks in the PROBES cells whose words fit it best. There, tables of inner
+products with the codebooks score all vectors of the cell, and the best are reranked with the exact cosine.
 
 Exact copies are one class with one vector, so a group of copies costs one vector; classes are expanded at the end.
 Cells that the sample shows to be crowded are divided into blocks, of rows as well as of queries.
@@ -12,6 +12,8 @@ Cells that the sample shows to be crowded are divided into blocks, of rows as we
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,14 +21,15 @@ from pyspark.sql import functions as F
 
 from confab.session import stage
 
-#: Vectors a cell should hold, fewest and most cells, and the sample for the codebooks: so many vectors a cell.
-CELL, FEWEST, MOST, PER_CELL = 300, 1, 8192, 32
+#: Vectors a cell should hold, on average; the sample the codebooks are learnt on: so many vectors at least, and a word.
+CELL, SAMPLE, PER_WORD = 300, 16_384, 32
 #: Books after the cells, words in each, beam, cells asked, candidates reranked.
 BOOKS, WORDS, BEAM, PROBES, RERANK = 8, 16, 3, 4, 24
 #: Rows or queries of a cell in one block.
 BLOCK = 8192
-#: Without a floor a query asks in so many cells for each root of their number; a task holds about GROUP neighbouring cells.
-SPREAD, GROUP = 1.25, 16
+#: Without a floor a query asks in so many cells for each root of their number; a task holds neighbouring cells of about
+#: GROUP vectors.
+SPREAD, GROUP = 1.5, 32_768
 ROUNDS = 8
 
 
@@ -51,34 +54,56 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Codebooks:
-    """cells: the first codebook; books: the further ones, (BOOKS, WORDS, dimension)."""
+    """first, second: the codebooks whose words name the cells; books: the further ones, (BOOKS, WORDS, dimension). Cell
+    numbers run over the second words of each first one."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, books: np.ndarray):
+        self.first, self.second, self.books = first, second, books
+        self.half = [0.5 * (b * b).sum(1) for b in (first, second)]
+        self.cross = first @ second.T
 
-    def __init__(self, cells: np.ndarray, books: np.ndarray):
-        self.cells, self.books = cells, books
+    @property
+    def n_cells(self) -> int:
+        return len(self.first) * len(self.second)
 
     @staticmethod
     def train(x: np.ndarray, cells: int, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> Codebooks:
         rng = np.random.default_rng(seed)
-        first = np.unique(kmeans(x, cells, rng), axis=0)  # equal words would take each other's probes
+        x = x[rng.permutation(len(x))]
+        side = max(1, int(np.ceil(cells**0.5)))
+        first = np.unique(kmeans(x, side, rng), axis=0)  # equal words would take each other's probes
         rest = x - first[nearest(x, first)]
+        second = np.unique(kmeans(rest, max(1, -(-cells // len(first))), rng), axis=0)
+        rest = rest - second[nearest(rest, second)]
         found = []
         for _ in range(books):
-            book = kmeans(rest[: 256 * words], words, rng)
+            book = kmeans(rest, words, rng)
             rest = rest - book[nearest(rest, book)]
             found.append(book)
-        return Codebooks(first.astype(np.float32), np.array(found, dtype=np.float32))
+        return Codebooks(first.astype(np.float32), second.astype(np.float32), np.array(found, dtype=np.float32))
+
+    def centre(self, cell) -> np.ndarray:  # noqa: ANN001
+        return self.first[cell // len(self.second)] + self.second[cell % len(self.second)]
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n cells whose words are nearest, best first."""
-        score = x @ self.cells.T - 0.5 * (self.cells * self.cells).sum(1)
-        n = min(n, score.shape[1])
-        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+        """The n cells whose words are nearest, best first, by beam search over both books."""
+        n = min(n, self.n_cells)
+        beam = min(len(self.first), max(16, n))
+        out = np.empty((len(x), n), dtype=np.int64)
+        for i in range(0, len(x), 1024):
+            part = x[i : i + 1024]
+            a, b = part @ self.first.T - self.half[0], part @ self.second.T - self.half[1]
+            head = np.argpartition(-a, beam - 1, axis=1)[:, :beam]
+            score = (np.take_along_axis(a, head, 1)[:, :, None] + b[:, None, :] - self.cross[head]).reshape(len(part), -1)
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+            out[i : i + 1024] = np.take_along_axis(head, best // len(self.second), 1) * len(self.second) + best % len(self.second)
+        return out
 
     def encode(self, x: np.ndarray, cell: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes by beam search over the books, and the norms of what they stand for."""
         n = len(x)
-        rest = (x - self.cells[cell])[:, None, :]
+        rest = (x - self.centre(cell))[:, None, :]
         codes = np.zeros((n, 1, 0), dtype=np.uint8)
         for book in self.books:
             words = len(book)
@@ -101,7 +126,7 @@ class Codebooks:
         columns = np.ascontiguousarray(codes.T.astype(np.intp))
         for i in range(0, len(q), 512):
             part = q[i : i + 512]
-            score = np.repeat((part @ self.cells[cell])[:, None], len(x), axis=1)
+            score = np.repeat((part @ self.centre(cell))[:, None], len(x), axis=1)
             for book, column in zip(self.books, columns):
                 score += np.take(part @ book.T, column, axis=1)
             score /= np.maximum(norms, 1e-6)
@@ -135,14 +160,16 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
     probes: cells asked, None for a number that grows with them, so that recall holds for vectors without close ones.
     """
     spark = reps.sparkSession
-    cells = max(FEWEST, min(MOST, n // CELL))
-    wanted = cells * PER_CELL
-    share = max(1, n // wanted)
-    sample = matrix(reps.where(F.pmod(F.xxhash64("code", F.lit(3)), F.lit(share)) == 0).limit(wanted).select("vector").toArrow().column("vector"))
+    cells = max(1, n // CELL)
+    wanted = max(SAMPLE, int(PER_WORD * cells**0.5))
+    sample = reps.where(F.pmod(F.xxhash64("code", F.lit(3)), F.lit(max(1, -(-n // wanted)))) == 0)
+    sample = matrix(sample.select("vector").toArrow().column("vector"))
+    if not len(sample):
+        sample = matrix(reps.limit(1).select("vector").toArrow().column("vector"))
     if not len(sample):
         return spark.createDataFrame([], "code bigint, other bigint, cosine float")
-    books = spark.sparkContext.broadcast(Codebooks.train(sample, cells))  # cells are at most MOST
-    seen = np.bincount(books.value.probes(sample, 1)[:, 0], minlength=len(books.value.cells))
+    books = spark.sparkContext.broadcast(Codebooks.train(sample, cells))  # as many words as two roots of the cells
+    seen = np.bincount(books.value.probes(sample, 1)[:, 0], minlength=books.value.n_cells)
     blocks = np.maximum(1, np.ceil(seen / len(sample) * n / BLOCK)).astype(int)
     crowded = bool((blocks > 1).any())
     # Where many cells are asked, a vector goes once to each group of neighbouring cells.
@@ -150,8 +177,8 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
     if probes is None:
         probes = max(PROBES, int(np.ceil(SPREAD * len(blocks) ** 0.5)))
         if not crowded:
-            centres = kmeans(books.value.cells, max(1, len(blocks) // GROUP), np.random.default_rng(7))
-            groups = nearest(books.value.cells, centres)
+            centres = kmeans(books.value.first, max(1, min(len(books.value.first), n // GROUP)), np.random.default_rng(7))
+            groups = np.repeat(nearest(books.value.first, centres), len(books.value.second))
     columns = ["cell", "block", "side", "role", "code", "vector"]
     routed = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("role", pa.int8()), ("code", pa.int64()), ("vector", pa.binary(4 * dimension))])
 
@@ -250,24 +277,26 @@ def nearest_ids(table: DataFrame, key: str = "id", column: str = "embedding", or
     """(id, other, cosine): the k most similar other ids of every id, with a cosine of at least `floor`.
 
     Ties go to the smaller id. Of a repeated id the row with the latest `order` counts. Null, all-zero and not finite
-    vectors take no part, nor do vectors that haven't the table's most frequent dimension.
+    vectors take no part; vectors are compared with those of their own dimension, which have an index of their own.
     """
     spark = table.sparkSession
     order = order if order in table.columns else None
     rows = vectors(table, key, column, order)
     # Ids and codes only, so that vectors are shuffled once, by code.
     members = stage(rows.groupBy("id").agg(F.max(F.struct("at", "code", F.size("vector").alias("size"))).alias("m")).select("id", "m.code", "m.size").where("code is not null"))
-    sizes = members.groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
+    sizes = members.groupBy("size").count().orderBy(F.desc("count"), "size").collect()  # a row a dimension
+    if not sizes:
         return spark.createDataFrame([], "id string, other string, cosine double")
-    dimension = sizes["size"]
-    members = members.where(F.col("size") == dimension).drop("size")
     # The first k + 1 ids of each class; a class of copies of any size passes k + 1 rows a partition.
     first = Window.partitionBy("code").orderBy("id")
-    heads = members.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    reps = rows.where(F.col("code").isNotNull() & (F.size("vector") == dimension)).groupBy("code").agg(F.first("vector").alias("vector"))
-    reps = reps.join(members.select("code"), "code", "left_semi")
-    near = class_neighbours(reps, sizes["count"], dimension, k, floor, probes)
+    heads = members.select("id", "code").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    near = []
+    for size in sizes:
+        reps = rows.where(F.col("code").isNotNull() & (F.size("vector") == size["size"])).groupBy("code").agg(F.first("vector").alias("vector"))
+        reps = reps.join(members.select("code"), "code", "left_semi")
+        near.append(class_neighbours(reps, size["count"], size["size"], k, floor, probes))
+    near = reduce(DataFrame.unionByName, near)
+    members = members.drop("size")
     # Ids of the neighbouring classes, best first, and those of the own class.
     ranked = near.join(heads.withColumnRenamed("code", "other"), "other").select("code", F.explode("ids").alias("id"), F.col("cosine").cast("double").alias("cosine"))
     far = ranked.groupBy("code").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("minus"), "id"))), 1, k).alias("far"))

@@ -46,6 +46,7 @@ def test_copies_are_one_class(spark):
     found = neighbours.nearest_ids(spark.createDataFrame(rows, VECTORS), floor=0.9).groupBy("id").agg(F.sort_array(F.collect_list("other")).alias("o")).collect()
     near = {r.id: r.o for r in found}
     assert len(near) == 41 and near["c010"] == ["c000", "c001", "c002", "c003", "c004"] and near["c002"] == ["c000", "c001", "c003", "c004", "c005"]
+    assert neighbours.nearest_ids(spark.createDataFrame(rows + [("s1", [1.0, 0.0], None, 1, "c", 2), ("s2", [2.0, 0.1], None, 1, "c", 2)], VECTORS), floor=0.9).where("id = 's1'").first().other == "s2"
     assert near["d0"] == ["c000", "c001", "c002", "c003", "c004"]
     assert neighbours.nearest_ids(spark.createDataFrame([], VECTORS)).count() == 0
 
