@@ -25,8 +25,16 @@ TOKEN = re.compile(r"[a-z0-9]+")
 POSSESSIVE = re.compile(r"'s\b")
 QUOTES = str.maketrans("‘’", "''")
 
-#: A token of the size measure: a run of word characters or a run of other visible ones.
-SIZE_TOKEN = r"(?U)\w+|[^\w\s]+"
+
+
+def _folds() -> tuple[str, str]:
+    """Characters whose NFKC form is one letter, digit or apostrophe of the tokens, and what they stand for."""
+    found = [(chr(c), unicodedata.normalize("NFKC", chr(c)).translate(QUOTES).lower()) for c in range(0x80, 0x20000)]
+    found = [(c, to) for c, to in found if re.fullmatch("[a-z0-9']", to)]
+    return "".join(c for c, _ in found), "".join(to for _, to in found)
+
+
+FOLDED, PLAIN = _folds()
 
 
 def normalise(text: str) -> str:
@@ -42,8 +50,9 @@ def tokenise(text: str | None) -> list[str]:
 
 
 def tokens(text: Column) -> Column:
-    """`tokenise` as a column expression, without NFKC (which Spark has no function for)."""
-    plain = F.lower(F.translate(text, "‘’", "''"))
+    """`tokenise` as a column expression. Characters that NFKC makes one letter or digit are folded by a table; those that
+    it makes several (ligatures, units) and combining marks are left as they are, for which Spark has no function."""
+    plain = F.lower(F.translate(text, FOLDED, PLAIN))
     return F.regexp_extract_all(F.regexp_replace(F.regexp_replace(plain, r"'s\b", ""), "'", ""), F.lit("([a-z0-9]+)"), 1)
 
 
@@ -61,14 +70,3 @@ def vocabulary_terms(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Stretches between Unicode white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
-
-
-def size_in_tokens(text: Column) -> Column:
-    """Length in size tokens; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(SIZE_TOKEN)), F.lit(0))
-
-
-def source_key(source: Column) -> Column:
-    """One spelling of a source name: lower case, words joined by one underscore; null where nothing is left."""
-    key = F.regexp_replace(F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "_"), "^_|_$", "")
-    return F.when(key != "", key)

@@ -22,19 +22,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def hash_vector(text: str | None, dim: int = 64) -> np.ndarray:
-    """Signed feature hashing of the tokens, of unit length; a text without tokens points along the diagonal."""
-    v = np.zeros(dim, dtype=np.float32)
-    for token in tokenise(text):
-        h = int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest(), "big")
-        v[h % dim] += 1.0 if (h >> 8) & 1 else -1.0
-    norm = float(np.linalg.norm(v))
-    return v / norm if norm else np.full(dim, dim**-0.5, dtype=np.float32)
+def hash_vectors(texts: list[str | None], dim: int = 64) -> np.ndarray:
+    """Signed feature hashing of the tokens of many texts, rows of unit length; a text without tokens points along the
+    diagonal. A token's place is its MD5 modulo the dimension, its sign bit 8. Every distinct token is hashed once."""
+    lists = [tokenise(t) for t in texts]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    known, which = np.unique(np.array([t for x in lists for t in x], dtype=object).astype(str), return_inverse=True)
+    numbers = [int(hashlib.md5(t.encode(), usedforsecurity=False).hexdigest(), 16) for t in known.tolist()]
+    place = np.array([n % dim for n in numbers], dtype=np.int64)
+    sign = np.array([(n >> 8) % 2 for n in numbers], dtype=np.int64) * 2 - 1
+    sums = np.bincount(row * dim + place[which], weights=sign[which], minlength=len(lists) * dim).reshape(len(lists), dim) if len(row) else np.zeros((len(lists), dim))
+    norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+    return np.where(norm > 0, sums / np.where(norm > 0, norm, 1), dim**-0.5).astype(np.float32)
 
 
 def hash_embedding(text: Column, prefix: str = "", dim: int = 64) -> Column:
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_vector(prefix + t if isinstance(t, str) else "", dim))
+        return pd.Series(list(hash_vectors([prefix + t if isinstance(t, str) else None for t in texts], dim)), index=texts.index)
 
     return embed(text)

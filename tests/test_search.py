@@ -11,24 +11,36 @@ from confab import catalogue
 from confab.config import SYSTEMS, SearchOptions, Settings
 from confab.functions import phonetics, stem
 from confab.functions.text import tokenise
-from confab.functions.vectors import hash_vector
+from confab.functions.vectors import hash_vectors
 from confab.operators import alignment, evaluation, fusion, index, moments, querying, retrieval
 from confab.plans import search as plan
 from confab.sources import transcripts
 from confab.streaming import indexing
 
 
-def test_parse():
-    q = querying.parse('"firing room" role:guest file:moon_launch launch')
-    assert (q["phrases"], q["role"], q["files"], q["text"], q["intent"]) == (["firing room"], "guest", ["moon_launch"], "firing room launch", "phrase")
-    for bad in ("", "   ", None, "role:host", "role:pilot x", "x" * 600):
-        with pytest.raises(querying.QueryError):
-            querying.parse(bad)
+def parsed(spark, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, query string")
+    return [r for r in sorted(querying.parse_queries(rows).collect(), key=lambda r: r.n)]
 
 
-@pytest.mark.parametrize("text,intent", [("cesium", "keyword"), ("El Paso", "keyword"), ("Why did it fail?", "question"), ("how they trained", "question"), ("the long road that pilots take to the moon", "topic")])
-def test_intent(text, intent):
-    assert querying.intent_of(text, []) == intent
+def test_parse(spark):
+    q, again, plain, *bad = parsed(spark, '"firing room" role:guest file:moon_launch launch', "ROLE:Host Speaker:a speaker:b file:x file:y  go\u00a0on", 'so " " it', "", "   ", None, "role:host", "role:pilot x", "x" * 600)
+    assert (q.q_phrases, q.q_role, q.q_files, q.q_text, q.q_intent, q.q_error) == (["firing room"], "guest", ["moon_launch"], "firing room launch", "phrase", None)
+    assert (again.q_role, again.q_speaker, again.q_files, again.q_text) == ("host", "B", ["x", "y"], "go on") and plain.q_phrases == []
+    assert all(r.q_error and r.q_text is None and r.q_intent is None and r.q_files == [] for r in bad) and "pilot" in bad[4].q_error
+
+
+def test_intent(spark):
+    cases = {"cesium": "keyword", "El Paso": "keyword", "Why did it fail?": "question", "how they trained": "question", "the long road that pilots take to the moon": "topic", "...": "keyword"}
+    assert [r.q_intent for r in parsed(spark, *cases)] == list(cases.values())
+
+
+def test_folded_tokens(spark):
+    from confab.functions.text import tokens
+
+    texts = ["ＡＢＣ ’tis ²③ 𝐛old", "ESA's T-38s", "K ñ ﬀ", "", None]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "x string").select(tokens(F.col("x")).alias("t")).collect()]
+    assert got[:2] == [tokenise(t) for t in texts[:2]] and got[2] == ["k"] and got[3] == [] and not got[4]
 
 
 def test_tokens():
@@ -130,13 +142,22 @@ def test_statistics():
     a = [rnd.choice([0.0, 1.0]) for _ in range(60)]
     low, high = evaluation.bootstrap(a)
     assert low < sum(a) / 60 < high
+    # The standard library draws the same resamples.
+    draw = random.Random(13)
+    means = sorted(sum(a[draw.randrange(60)] for _ in range(60)) / 60 for _ in range(2000))
+    assert (low, high) == pytest.approx((means[50], means[1950]))
+    flip, gaps = random.Random(7), [x - y for x, y in zip(a, a[1:] + a[:1])]
+    shifted = [x + 0.1 for x in a]
+    extreme = sum(abs(sum(g + 0.1 if flip.random() < 0.5 else -g - 0.1 for g in gaps)) >= abs(sum(gaps) + 6.0) - 1e-12 for _ in range(5000))
+    assert evaluation.permutation_p(shifted, a[1:] + a[:1]) == pytest.approx((extreme + 1) / 5001, abs=1e-3)
     assert evaluation.permutation_p(a, a) == 1.0 and evaluation.permutation_p([1.0] * 30, [0.0] * 30) < 0.001
     with pytest.raises(ValueError):
         evaluation.permutation_p([], [])
 
 
 def test_error_rates(spark):
-    assert alignment.spoken_tokens("It's the T-38, um, two!") == ["it's", "the", "t", "38", "2"]
+    texts = spark.createDataFrame([("It's the T-38, um, two!",), (None,), ("'' 'quoted'",)], "t string")
+    assert [r.s for r in texts.select(alignment.spoken(F.col("t")).alias("s")).collect()] == [["it's", "the", "t", "38", "2"], [], ["quoted"]]
     assert alignment.align("a b c d".split(), "a x c d e".split())[:3] == (1, 0, 1)
     reference = spark.createDataFrame([("f", 0, "Ann", "zero lead in words"), ("f", 1, "Ann", "we went to the moon and back again in a day"), ("f", 2, "Bob", "no we did not go there at all my dear friend of mine")], "file_id string, turn int, speaker string, text string")
     spoken = [("S0", "we went to the moon and back again in a week"), ("S1", "no we did not go there at all my dear friend of mine")]
@@ -231,7 +252,8 @@ def test_every_system_runs(spark, library, name):
 
 
 def test_hash_vectors():
-    assert hash_vector("a b").shape == (64,) and abs(float((hash_vector("rocket fuel") ** 2).sum()) - 1) < 1e-6 and float(hash_vector("")[0]) == pytest.approx(0.125)
+    v = hash_vectors(["a b", "rocket fuel", "", None])
+    assert v.shape == (4, 64) and abs(float((v[1] ** 2).sum()) - 1) < 1e-6 and v[2] == pytest.approx(0.125) and v[3] == pytest.approx(0.125)
 
 
 def test_transcript_files(spark, tmp_path):
