@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     ix = load(spark, args.index, args.analyzer)
     if args.command == "search":
         one = spark.createDataFrame([("q", args.query)], "query_id string, query string")
-        options = dataclasses.replace(SYSTEMS[args.system], k=args.k, analyzer=args.analyzer)
+        options = dataclasses.replace(SYSTEMS[args.system], k=args.k)
         for r in search(ix, one, options).orderBy("rank").collect():  # at most max_k rows
             marked = r["text"]
             for m in reversed(r["highlights"] or []):

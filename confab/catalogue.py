@@ -53,11 +53,13 @@ def base(spark: SparkSession, at: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns are read and shuffled; of repeated keys the latest row counts."""
     t = raw(spark, at, name)
     wanted = list(dict.fromkeys([*KEYS[name], *(columns or COLUMNS[name])]))
-    return t.select(*wanted, *(["indexed_at"] if "indexed_at" in t.columns else [])).dropDuplicates(wanted if name in ("words", "turns") else KEYS[name]).select(*wanted)
+    if name in ("words", "turns"):  # re-sent rows are the same in every column
+        return t.select(*wanted).distinct()
+    return index.latest(t, KEYS[name], wanted)
 
 
 def embedded(spark: SparkSession, at: str, name: str) -> DataFrame:
-    return raw(spark, at, name).select("id", "embedding").dropDuplicates(["id"])
+    return index.latest(raw(spark, at, name), ["id"], ["id", "embedding"])
 
 
 def asked(spark: SparkSession, at: str) -> DataFrame:

@@ -39,7 +39,6 @@ class SearchOptions:
     nms: bool = True
     snap: bool = True
     k: int | None = None
-    analyzer: str = "simple"
 
     def limit(self, settings: Settings) -> int:
         return max(1, min(self.k or settings.default_k, settings.max_k))

@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confab.config import Settings
+from confab.functions.clusters import kmeans
 from confab.functions.phonetics import sound_keys, substring_share, trigram_similarity, trigrams
+from confab.functions.text import content_tokens
 from confab.functions.vectors import cosine
 from confab.operators.index import ANALYZERS
 from confab.operators.islands import top_per_key
 
-#: Most queries whose lexemes or vectors are broadcast; larger batches are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Queries whose vectors are broadcast together; more scan the vectors again.
+QUERY_BLOCK = 4096
+#: Query rows multiplied at once inside a task.
+ROWS = 256
+#: Vectors a cell should hold, on average, the sample its centres are learnt on, and cells asked for each root of their number.
+CELL, CELL_SAMPLE, CELL_SPREAD = 300, 16_384, 1.5
+FILTERS = ("q_files", "q_speaker", "q_role")
 # The acceptance rules of sounds-like terms.
 LEAST_LETTERS, PER_TOKEN, OPEN, STRICT, RARE = 4, 3, 0.62, 0.80, 2
 
@@ -31,17 +38,30 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(lexemes: DataFrame, posted: DataFrame, stats: DataFrame, lengths: DataFrame, corpus: DataFrame, settings: Settings = Settings(), allowed: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank, matched): the best chunks of each query. allowed: (query_id, chunk_id) that pass filters.
+def passes(files: Column, speaker: Column, role: Column) -> Column:
+    """Whether a chunk (file_id, speakers, roles) passes a query's filters; a filter that isn't set passes all."""
+    return (
+        (F.coalesce(F.size(files), F.lit(0)) <= 0) | F.array_contains(files, F.col("file_id"))
+    ) & (speaker.isNull() | F.array_contains("speakers", speaker)) & (role.isNull() | F.array_contains("roles", role))
+
+
+def bm25(lexemes: DataFrame, posted: DataFrame, stats: DataFrame, lengths: DataFrame, corpus: DataFrame, settings: Settings = Settings(), filters: DataFrame | None = None, phrased: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank, matched): the best chunks of each query.
 
     Postings meet only the lexemes that are asked for; scores are rounded before they are ordered, so that equal ones tie.
+    filters: query_id, q_files, q_speaker, q_role, has_phrases of every query; they are tested on the rows that meet, with the
+    chunk's attributes in lengths. phrased: (query_id, chunk_id) that hold the phrases of the queries that have any.
     """
     wanted = lexemes.groupBy("query_id", "lexeme").agg(F.sum("weight").alias("weight"))
     scale = corpus.select(F.col("n_docs").cast("double").alias("n"), (F.col("sum_doc_len") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))  # one row
-    terms = wanted.join(stats, "lexeme").crossJoin(F.broadcast(scale)).select("query_id", "lexeme", (F.col("weight") * idf(F.col("n"), F.col("df"))).alias("gain"), "avgdl")
+    asks = [] if filters is None else [*FILTERS, "has_phrases"]
+    wanted = wanted if filters is None else wanted.join(filters.select("query_id", *asks), "query_id")
+    terms = wanted.join(stats, "lexeme").crossJoin(F.broadcast(scale)).select("query_id", "lexeme", (F.col("weight") * idf(F.col("n"), F.col("df"))).alias("gain"), "avgdl", *asks)
     hits = terms.join(posted, "lexeme").join(lengths, "chunk_id")
-    if allowed is not None:
-        hits = hits.join(allowed.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    if filters is not None:
+        hits = hits.where(passes(*map(F.col, FILTERS)))
+    if phrased is not None:
+        hits = hits.join(phrased.select("query_id", "chunk_id", F.lit(True).alias("_held")), ["query_id", "chunk_id"], "left").where("not has_phrases or _held")
     k1, b = settings.k1, settings.b
     part = F.col("gain") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     scored = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(part), 6).alias("score"), F.sort_array(F.collect_set("lexeme")).alias("matched"))
@@ -62,18 +82,12 @@ def with_role(chunks: DataFrame, speakers: DataFrame, role: str) -> DataFrame:
     return chunks.join(who, (F.col("file_id") == F.col("f")) & F.array_contains("speakers", F.col("l")), "left_semi")
 
 
-def allowed_chunks(queries: DataFrame, chunks: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) for queries with file, speaker or role filters; each filter is an equi-join."""
-    asks = queries.select("query_id", "q_files", "q_speaker", "q_role").where("size(q_files) > 0 or q_speaker is not null or q_role is not null")
-    who = speakers.select("file_id", "label", F.lower(F.trim("role")).alias("role")).distinct()
-    spoken = chunks.select("file_id", F.col("id").alias("chunk_id"), F.explode("speakers").alias("label")).join(who, ["file_id", "label"], "left")
-    parts = []
-    parts.append(asks.where("size(q_files) > 0").select("query_id", F.explode("q_files").alias("file_id")).join(chunks.select("file_id", F.col("id").alias("chunk_id")), "file_id").select("query_id", "chunk_id", F.lit("file").alias("kind")))
-    parts.append(asks.where("q_speaker is not null").select("query_id", F.col("q_speaker").alias("label")).join(spoken, "label").select("query_id", "chunk_id", F.lit("speaker").alias("kind")))
-    parts.append(asks.where("q_role is not null").select("query_id", F.col("q_role").alias("role")).join(spoken, "role").select("query_id", "chunk_id", F.lit("role").alias("kind")))
-    need = asks.select("query_id", ((F.size("q_files") > 0).cast("int") + F.col("q_speaker").isNotNull().cast("int") + F.col("q_role").isNotNull().cast("int")).alias("need"))
-    passed = reduce(DataFrame.unionByName, parts).groupBy("query_id", "chunk_id").agg(F.countDistinct("kind").alias("n"))
-    return passed.join(need, "query_id").where("n = need").select("query_id", "chunk_id")
+def chunk_roles(chunks: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(id, roles): the roles of those who speak in a chunk; a recording's few speakers are one map beside its chunks."""
+    known = speakers.where("file_id is not null and label is not null").groupBy("file_id", "label").agg(F.max(F.lower(F.trim("role"))).alias("role")).where("role is not null")
+    cast = known.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "role"))).alias("cast"))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform("speakers", lambda s: F.col("cast")[s]))))
+    return chunks.select("id", "file_id", "speakers").join(cast, "file_id", "left").select("id", F.coalesce(found, F.array().cast("array<string>")).alias("roles"))
 
 
 def phrase_matches(queries: DataFrame, occurrences: DataFrame, analyzer: str = "simple", phrases: str = "q_phrases") -> DataFrame:
@@ -93,53 +107,158 @@ def phrase_matches(queries: DataFrame, occurrences: DataFrame, analyzer: str = "
 
 def unit_rows(column) -> np.ndarray:  # noqa: ANN001
     """Rows of an Arrow list column as unit vectors of doubles."""
-    x = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, vector: str = "embedding", small: int = BROADCAST_ROWS) -> DataFrame:
+def best_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row in order, the first of equals before the others; -inf never counts."""
+    k = min(k, score.shape[1])
+    bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    r, c = np.nonzero((score >= bar) & (score > -np.inf))
+    order = np.lexsort((c, -score[r, c], r))
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep]
+
+
+def _allowed(asked: list[dict], batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """For queries the number of their combination of filters, and for each combination which rows of the batch pass."""
+    names: dict[tuple, int] = {}
+    which = np.array([names.setdefault((tuple(sorted(q["q_files"] or ())), q["q_speaker"], q["q_role"]), len(names)) for q in asked])
+    files = np.array(batch.column("file_id").to_pylist(), dtype=object)
+    held = {c: batch.column(c).to_pylist() for c in ("speakers", "roles")}
+    has = lambda c, v: np.array([v in (x or ()) for x in held[c]], dtype=bool)
+    masks: list[np.ndarray | None] = []
+    for wanted, speaker, role in names:
+        parts = ([np.isin(files, list(wanted))] if wanted else []) + ([has("speakers", speaker)] if speaker else []) + ([has("roles", role)] if role else [])
+        masks.append(reduce(np.logical_and, parts) if parts else None)
+    return which, masks
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int, vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): exact cosine of a stated query set against all vectors.
 
-    Each partition multiplies its batches with the query matrix and passes on k rows a query. Null and all-zero vectors
-    take no part. The query set is shipped in blocks of at most `small` rows, so what is broadcast is bounded; more
-    queries scan the vectors again.
+    Each partition keeps a running list of k rows a query over its batches, so it passes on no more. Null and all-zero
+    vectors take no part. Queries with q_files, q_speaker and q_role see only the vectors whose file_id, speakers and roles
+    pass. The query set is shipped in blocks of at most `block` rows, so what is broadcast is bounded; more queries scan
+    the vectors again.
     """
     usable = lambda df: df.where(F.exists(F.col(vector), lambda x: x != 0))
-    asked = usable(queries).select("query_id", vector)
+    filtered = set(FILTERS) <= set(queries.columns)
+    asked = usable(queries).select("query_id", vector, *(FILTERS if filtered else ()))
     spark = queries.sparkSession
-    blocks = max(1, -(-asked.count() // small))
+    blocks = max(1, -(-asked.count() // block))
     found = []
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+    for number in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
         if not part.num_rows:
             continue
-        shipped = spark.sparkContext.broadcast((part.column("query_id").to_pylist(), unit_rows(part.column(vector))))
+        shipped = spark.sparkContext.broadcast((part.drop_columns([vector]).to_pylist(), unit_rows(part.column(vector))))
 
         def best(batches, shipped=shipped):  # noqa: ANN001, ANN202
-            names, q = shipped.value
+            asked, q = shipped.value
+            top = np.full((len(q), k), -np.inf)
+            ids = np.full((len(q), k), None, dtype=object)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids = np.array(batch.column("id").to_pylist(), dtype=object)
-                score = np.round(q @ unit_rows(batch.column(vector)).T, 6)
-                order = np.argsort(ids, kind="stable")
-                ids, score = ids[order], score[:, order]
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_pydict({"query_id": [n for n in names for _ in range(top.shape[1])], "id": ids[top].ravel().tolist(), "score": np.take_along_axis(score, top, 1).ravel()})
-
-        found.append(usable(vectors).select("id", vector).mapInArrow(best, "query_id string, id string, score double"))
+                names = np.array(batch.column("id").to_pylist(), dtype=object)
+                x = unit_rows(batch.column(vector)).T
+                which, masks = _allowed(asked, batch) if filtered else (np.zeros(len(q), dtype=int), [None])
+                for at in range(0, len(q), ROWS):
+                    rows = slice(at, at + ROWS)
+                    score = np.round(q[rows] @ x, 6)
+                    for m in np.unique(which[rows]):
+                        if masks[m] is not None:
+                            score[np.ix_(which[rows] == m, ~masks[m])] = -np.inf
+                    r, c = best_rows_by_name(score, names, k)
+                    # The list so far and the batch's best, merged by score, then id.
+                    n = np.bincount(r, minlength=len(score))
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    both, held = np.full((len(score), 2 * k), -np.inf), np.full((len(score), 2 * k), None, dtype=object)
+                    both[:, :k], held[:, :k] = top[rows], ids[rows]
+                    both[r, k + place], held[r, k + place] = score[r, c], names[c]
+                    fresh = np.flatnonzero(n)
+                    for i in fresh:
+                        known = np.flatnonzero(both[i] > -np.inf)
+                        order = known[np.lexsort((held[i][known].astype(str), -both[i][known]))][:k]
+                        top[at + i, : len(order)], ids[at + i, : len(order)] = both[i][order], held[i][order]
+            r, c = np.nonzero(top > -np.inf)
+            if len(r):
+                yield pa.RecordBatch.from_pydict({"query_id": [asked[i]["query_id"] for i in r], "id": ids[r, c].tolist(), "score": top[r, c]})
+
+        columns = ["id", vector, *(("file_id", "speakers", "roles") if filtered else ())]
+        found.append(usable(vectors).select(columns).mapInArrow(best, "query_id string, id string, score double"))
     if not found:
         return spark.createDataFrame([], "query_id string, id string, score double, rank int")
     return top_per_key(reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
-def dense_among(queries: DataFrame, vectors: DataFrame, allowed: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """`dense` for filtered queries: only the allowed (query_id, chunk_id) are scored."""
-    pairs = allowed.select("query_id", F.col("chunk_id").alias("id")).join(vectors.select("id", vector), "id").join(queries.select("query_id", F.col(vector).alias("q")), "query_id")
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col(vector), F.col("q")), 6).alias("score")).where("score is not null")
+def best_rows_by_name(score: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """`best_rows` with equals in order of their names."""
+    order = np.argsort(names.astype(str), kind="stable")
+    r, c = best_rows(score[:, order], k)
+    return r, order[c]
+
+
+def dense_among(queries: DataFrame, vectors: DataFrame, phrased: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
+    """`dense` for queries with phrases: only the (query_id, chunk_id) that hold them are scored, as far as they pass the
+    query's filters."""
+    pairs = phrased.select("query_id", F.col("chunk_id").alias("id")).join(vectors.select("id", vector, "file_id", "speakers", "roles"), "id").join(queries.select("query_id", F.col(vector).alias("q"), *FILTERS), "query_id")
+    scored = pairs.where(passes(*map(F.col, FILTERS))).select("query_id", "id", F.round(cosine(F.col(vector), F.col("q")), 6).alias("score")).where("score is not null")
     return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def centres_of(vectors: DataFrame, vector: str = "embedding", cell: int = CELL) -> np.ndarray:
+    """Centres of cells of about `cell` vectors, learnt on at most about CELL_SAMPLE vectors picked by a hash of the id; so
+    there are at most CELL_SAMPLE / 4 centres, and beyond that cells grow."""
+    usable = vectors.where(F.exists(F.col(vector), lambda x: x != 0))
+    n = usable.count()
+    picked = usable.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // CELL_SAMPLE)))) == 0).select(vector).toArrow()
+    x = unit_rows(picked.column(vector)) if picked.num_rows else np.zeros((0, 1))
+    return kmeans(x, int(min(max(1, n // cell), max(1, CELL_SAMPLE // 4), len(x))), np.random.default_rng(7)) if len(x) else x
+
+
+def dense_by_cells(queries: DataFrame, vectors: DataFrame, centres: np.ndarray, k: int, vector: str = "embedding", spread: float = CELL_SPREAD) -> DataFrame:
+    """`dense` over the cells nearest to each query, `spread` for each root of their number: an approximate search whose work
+    grows with the root of the collection. Vectors meet the queries that ask in their cell, a block of a cell at a time."""
+    if not len(centres):
+        return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
+    shipped = queries.sparkSession.sparkContext.broadcast(centres)  # at most CELL_SAMPLE / 4 rows
+    probes = min(len(centres), max(4, int(np.ceil(spread * len(centres) ** 0.5))))
+    blocks = 4  # parts of a cell, so that a crowded one is several groups
+
+    def place(batches, n: int):  # noqa: ANN001, ANN202
+        for batch in batches:
+            x = unit_rows(batch.column(vector))
+            score = x @ shipped.value.T - 0.5 * (shipped.value * shipped.value).sum(1)
+            own = np.argpartition(-score, n - 1, axis=1)[:, :n] if len(x) else np.zeros((0, n), dtype=int)
+            row = pa.array(np.repeat(np.arange(len(x)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(own.ravel().astype(np.int32))], names=["name", "v", "cell"])
+
+    usable = lambda df, key: df.where(F.exists(F.col(vector), lambda x: x != 0)).select(F.col(key).alias("name"), F.col(vector).cast("array<float>").alias(vector))
+    schema = "name string, v array<float>, cell int"
+    held = usable(vectors, "id").mapInArrow(lambda b: place(b, 1), schema).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    asks = usable(queries, "query_id").mapInArrow(lambda b: place(b, probes), schema).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.string()), "id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        names, asked = np.array(right.column("name").to_pylist(), dtype=object), np.array(left.column("name").to_pylist(), dtype=object)
+        q, x = unit_rows(left.column("v")), unit_rows(right.column("v")).T
+        parts = []
+        for at in range(0, len(q), ROWS):
+            score = np.round(q[at : at + ROWS] @ x, 6)
+            r, c = best_rows_by_name(score, names, k)
+            parts.append(pa.table({"query_id": pa.array(asked[at + r].tolist(), pa.string()), "id": pa.array(names[c].tolist(), pa.string()), "score": pa.array(score[r, c])}))
+        return pa.concat_tables(parts)
+
+    found = asks.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(meet, "query_id string, id string, score double")
+    return top_per_key(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
 def sound_candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, term) pairs worth scoring: a shared sound key, enough shared trigrams, or containment of the token without
     its last letter. Four equi-joins; trigrams of containment narrow the last."""
@@ -158,15 +277,25 @@ def sound_candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return by_sound.unionByName(by_code).unionByName(by_spelling).unionByName(by_part).where("term <> token").distinct()
 
 
-def expansions(tokens: DataFrame, vocabulary: DataFrame, lexicon: list[str] | None = None, phonetic: bool = True) -> DataFrame:
+def lexicon_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token): the distinct content tokens of a table of texts, as a lexicon of words that are spelt right."""
+    return texts.select(F.explode(content_tokens(F.col(text))).alias("token")).distinct()
+
+
+def expansions(tokens: DataFrame, vocabulary: DataFrame, lexicon: DataFrame | list[str] | None = None, phonetic: bool = True) -> DataFrame:
     """(token, term, score, kind, rank): terms of the vocabulary that sound or look like a token the corpus lacks, or
     holds rarely. tokens: token. Without `phonetic` only spelling counts.
 
     Known tokens are expanded strictly if rare and not in the lexicon; unknown ones openly, or strictly if in it.
     """
     asked = tokens.where((F.length("token") >= LEAST_LETTERS) & F.col("token").rlike("^[a-z]+$")).select("token").distinct()
-    common = F.col("token").isin(*lexicon) if lexicon else F.lit(False)
+    if isinstance(lexicon, list):
+        lexicon = tokens.sparkSession.createDataFrame([(t,) for t in lexicon], "token string")
     known = vocabulary.select(F.col("term").alias("token"), F.col("df"))
+    common = F.lit(False)
+    if lexicon is not None:
+        asked = asked.join(lexicon.select("token", F.lit(True).alias("listed")).distinct(), "token", "left")
+        common = F.coalesce("listed", F.lit(False))
     policy = F.when(F.col("df").isNull(), F.when(common, "strict").otherwise("open")).when((F.col("df") <= RARE) & ~common, "strict")
     asked = asked.join(known, "token", "left").withColumn("policy", policy).where("policy is not null").select("token", "policy")
     if not phonetic:

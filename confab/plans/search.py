@@ -18,8 +18,8 @@ MARKS = "array<struct<from:int,to:int,at:double>>"
 
 @dataclass
 class Index:
-    """The tables a search reads. chunks: id, file_id, idx, start_sec, end_sec, utt_start, utt_end, speakers, text,
-    embedding; utterances: id, file_id, idx, speaker, start_sec, end_sec, text, words, lexemes, embedding. Vectors have
+    """The tables a search reads. chunks: id, file_id, idx, start_sec, end_sec, utt_start, utt_end, speakers, roles, text,
+    embedding; lengths: chunk_id, doc_len, and file_id, speakers, roles for filters; utterances: id, file_id, idx, speaker, start_sec, end_sec, text, words, lexemes, embedding. Vectors have
     unit length."""
 
     chunks: DataFrame
@@ -38,16 +38,17 @@ class Index:
 
 def build_index(chunks: DataFrame, utterances: DataFrame, speakers: DataFrame, manifest: DataFrame, analyzer: str = "simple", profile: str = "hash") -> Index:
     """All index tables, written to the shared folder and read again; vectors come from the deterministic embedder over embed_text."""
-    embedded = stage(chunks.withColumn("embedding", hash_embedding(F.col("embed_text"), PREFIXES[profile][1])))
+    acted = chunks.join(retrieval.chunk_roles(chunks, speakers), "id")
+    embedded = stage(acted.withColumn("embedding", hash_embedding(F.col("embed_text"), PREFIXES[profile][1])))
     said = utterances.select("id", "file_id", "idx", "speaker", "start_sec", "end_sec", "text", "words")
     said = stage(said.withColumns({"lexemes": index.ANALYZERS[analyzer](F.col("text")), "embedding": hash_embedding(F.col("text"), PREFIXES[profile][1])}))
     occurrences = stage(index.occurrences(embedded, analyzer))
     posted = stage(occurrences.groupBy("lexeme", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    lengths = stage(index.doc_lengths(embedded, posted))
+    lengths = stage(index.doc_lengths(embedded, posted).join(embedded.select(F.col("id").alias("chunk_id"), "file_id", "speakers", "roles"), "chunk_id"))
     return Index(embedded, said, speakers, manifest, occurrences, posted, stage(index.term_stats(posted)), lengths, stage(index.corpus_stats(lengths)), stage(index.vocabulary(embedded)), analyzer, profile)
 
 
-def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions(), settings: Settings = Settings(), lexicon: list[str] | None = None) -> DataFrame:
+def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions(), settings: Settings = Settings(), lexicon: DataFrame | list[str] | None = None) -> DataFrame:
     """Ranked moments of every answerable query. queries: query_id, query, and role where given apart from the text.
 
     Explicit roles win over inline ones. Queries that can't be parsed have no rows; their error is in `parse_queries`.
@@ -60,13 +61,9 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
     parsed = stage(parsed.withColumn("embedding", hash_embedding(F.col("q_text"), PREFIXES[ix.profile][0])))
     lexemes = retrieval.query_lexemes(parsed, ix.analyzer)
 
-    phrased = parsed.where("size(q_phrases) > 0")
-    filtered = "size(q_files) > 0 or q_speaker is not null or q_role is not null"
-    restricted = parsed.where(f"size(q_phrases) > 0 or {filtered}").select("query_id")
-    by_filter = retrieval.allowed_chunks(parsed, ix.chunks, ix.speakers).withColumn("kind", F.lit("filter"))
-    by_phrase = retrieval.phrase_matches(phrased, ix.occurrences, ix.analyzer).withColumn("kind", F.lit("phrase"))
-    need = parsed.select("query_id", (F.expr(filtered).cast("int") + (F.size("q_phrases") > 0).cast("int")).alias("need")).where("need > 0")
-    allowed = stage(by_filter.unionByName(by_phrase).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).join(need, "query_id").where("n = need").select("query_id", "chunk_id"))
+    asks = parsed.select("query_id", *retrieval.FILTERS, (F.size("q_phrases") > 0).alias("has_phrases"))
+    phrased = stage(retrieval.phrase_matches(parsed.where("size(q_phrases) > 0"), ix.occurrences, ix.analyzer))
+    with_phrases = parsed.where("size(q_phrases) > 0")
 
     channels, hits = [], None
     if options.mode != "semantic":
@@ -75,14 +72,12 @@ def search(ix: Index, queries: DataFrame, options: SearchOptions = SearchOptions
             expanded = retrieval.expansions(asked, ix.vocabulary, lexicon)
             lexemes = lexemes.unionByName(retrieval.expansion_lexemes(parsed, lexemes, expanded, settings.expansion_weight, ix.analyzer))
         lexemes = stage(lexemes)
-        free, bound = lexemes.join(restricted, "query_id", "left_anti"), lexemes.join(restricted, "query_id", "left_semi")
-        args = (ix.postings, ix.stats, ix.lengths, ix.corpus, settings)
-        hits = stage(retrieval.bm25(free, *args).unionByName(retrieval.bm25(bound, *args, allowed=allowed)))
+        hits = stage(retrieval.bm25(lexemes, ix.postings, ix.stats, ix.lengths, ix.corpus, settings, asks, phrased))
         channels.append(hits.select("query_id", F.lit("lexical").alias("channel"), "id", "rank", "score"))
     vectors = parsed
     if options.mode != "lexical":
-        free = retrieval.dense(vectors.join(restricted, "query_id", "left_anti"), ix.chunks, settings.candidates)
-        bound = retrieval.dense_among(vectors, ix.chunks, allowed, settings.candidates)
+        free = retrieval.dense(parsed.where("size(q_phrases) = 0"), ix.chunks, settings.candidates)
+        bound = retrieval.dense_among(with_phrases, ix.chunks, phrased, settings.candidates)
         channels.append(free.unionByName(bound).select("query_id", F.lit("dense").alias("channel"), "id", "rank", "score"))
     listed = channels[0] if len(channels) == 1 else channels[0].unionByName(channels[1])
     weight = F.lit(1.0)

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +50,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_STAGED: list[str] = []
+
+
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Writes df into the shared folder and reads it again: cuts lineage and survives lost executors."""
+    """Writes df into the shared folder and reads it again: cuts lineage and survives lost executors. The folder goes when
+    the application ends, or with the `staging` block it was made in."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    files, target = _folder(spark, path)
+    files.deleteOnExit(target)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession):  # noqa: ANN201
+    """What is staged inside is deleted at the end of the block; results must be written or collected before."""
+    have = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path in _STAGED[have:]:
+            files, target = _folder(spark, path)
+            files.delete(target, True)
+        del _STAGED[have:]
+
+
 _SHIPPED: set[str] = set()
 
 

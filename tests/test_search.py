@@ -124,10 +124,41 @@ def test_dense_blocks_agree(spark):
     v = spark.createDataFrame(rows, "id string, embedding array<float>")
     q = v.where("id < 'i2'").withColumnRenamed("id", "query_id")
     key = lambda df: sorted(tuple(r) for r in df.collect())
-    assert key(retrieval.dense(q, v, 5)) == key(retrieval.dense(q, v, 5, small=3))
+    assert key(retrieval.dense(q, v, 5)) == key(retrieval.dense(q, v, 5, block=3))
     assert all(r.id == r.query_id and r.score == pytest.approx(1) for r in retrieval.dense(q, v, 1).collect())
 
 
+def test_dense_is_the_brute_force_list(spark):
+    """Ties in order of id, filters, and more rows than a batch holds."""
+    rnd = random.Random(5)
+    rows = [(f"i{k:04d}", [float(rnd.randrange(-1, 2)) for _ in range(4)], f"f{k % 3}", ["a"] if k % 2 else ["a", "b"], ["host"] if k % 5 else []) for k in range(700)]
+    v = spark.createDataFrame(rows, "id string, embedding array<float>, file_id string, speakers array<string>, roles array<string>")
+    asked = [("q0", [1.0, 1.0, 0.0, 0.0], [], None, None), ("q1", [1.0, 0.0, -1.0, 1.0], ["f1", "f2"], "b", None), ("q2", [0.0, 1.0, 1.0, 0.0], None, None, "host"), ("q3", [0.0, 0.0, 0.0, 1.0], ["none"], None, None)]
+    q = spark.createDataFrame(asked, "query_id string, embedding array<float>, q_files array<string>, q_speaker string, q_role string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.dense(q, v, 9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)), 6)
+    want = {}
+    for name, x, files, speaker, role in asked:
+        fits = [(-cos(x, e), i) for i, e, f, who, roles in rows if any(e) and (not files or f in files) and (not speaker or speaker in who) and (not role or role in roles)]
+        want |= {(name, k + 1): (i, -s) for k, (s, i) in enumerate(sorted(fits)[:9])}
+    assert got == {k: (i, pytest.approx(s)) for k, (i, s) in want.items()}
+
+
+def test_cells_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16)) + 2 * rng.normal(size=(30, 16))[rng.integers(0, 30, 6000)]
+    v = spark.createDataFrame([(f"i{k:04d}", [float(a) for a in e]) for k, e in enumerate(x)], "id string, embedding array<float>")
+    q = v.where("id like '%7'").withColumnRenamed("id", "query_id")
+    exact, near = ({(r.query_id, r.id) for r in df.collect()} for df in (retrieval.dense(q, v, 10), retrieval.dense_by_cells(q, v, retrieval.centres_of(v, cell=100), 10)))
+    assert len(exact & near) >= 0.9 * len(exact) and len(near) == len(exact)
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([("q", 0, "f", 10.0, 20.0, 2), ("q", 1, "f", 100.0, 110.0, 1), ("q", 2, "g", 0.0, 5.0, 2)], "query_id string, label int, file string, start_sec double, end_sec double, grade int")
     got = spark.createDataFrame([("q", 1, "f", 500.0, 510.0), ("q", 2, "f", 12.0, 18.0), ("q", 3, "g", 1.0, 3.0), ("q", 4, "g", 2.0, 3.0)], "query_id string, rank int, file string, start_sec double, end_sec double")
