@@ -56,10 +56,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.regexp_replace(plain, r"'s\b", ""), "'", ""), F.lit("([a-z0-9]+)"), 1)
 
 
+def word_list(words: tuple[str, ...]) -> Column:
+    """An array of plain words, made in one step."""
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
+def is_content(token: Column, min_len: int = 3) -> Column:
+    return (F.length(token) >= min_len) & ~F.array_contains(word_list(STOPWORDS), token) & ~token.rlike("^[0-9]+$")
+
+
 def content_tokens(text: Column, min_len: int = 3) -> Column:
     """Tokens of at least min_len characters that are neither stop words nor numbers."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(tokens(text), lambda t: (F.length(t) >= min_len) & ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$"))
+    return F.filter(tokens(text), lambda t: is_content(t, min_len))
 
 
 def vocabulary_terms(text: Column) -> Column:

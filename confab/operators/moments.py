@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from confab.functions.text import tokens, word_count
 from confab.functions.vectors import cosine
+from confab.operators.islands import before
 from confab.operators.retrieval import idf
 
 SHORT_WORDS = 4
@@ -106,13 +107,13 @@ def pool_size(k: int) -> int:
 
 
 def as_of(utterances: DataFrame, moments: DataFrame, slack: float = 0.05) -> DataFrame:
-    """(file_id, at, id): the last utterance that starts at or before each moment plus slack. An as-of join by one window
-    over the union of both sides; moments: file_id, at."""
+    """(file_id, at, id): the last utterance that starts at or before each moment plus slack. An as-of join by the greatest
+    start before each row of the union of both sides, chunk by chunk; moments: file_id, at."""
     sides = utterances.select("file_id", F.col("start_sec").alias("t"), F.lit(0).alias("side"), "id", F.lit(None).cast("double").alias("at")).unionByName(
         moments.select("file_id", (F.col("at") + slack).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("id"), "at")
     )
-    w = Window.partitionBy("file_id").orderBy("t", "side", "id")
-    return sides.withColumn("found", F.last("id", ignorenulls=True).over(w)).where("side = 1").select("file_id", "at", F.col("found").alias("id"))
+    seen = before(sides, ["file_id"], ["t", "side", "id"], maxima={"found": F.when(F.col("side") == 0, F.struct("t", "id"))})
+    return seen.where("side = 1").select("file_id", "at", F.col("found.id").alias("id"))
 
 
 __all__ = ["as_of", "highlight", "keep_moments", "lexeme_gains", "passage_utterances", "pool_size", "snap", "spans_of_markup", "suppress"]

@@ -15,27 +15,47 @@ def words(*rows, file="f"):
     return [(file, i, t, s, e, who) for i, (t, s, e, who) in enumerate(rows)]
 
 
-def test_sentence_ends():
-    assert all(map(sequence.closes, ("today.", "really?", '"yes!"'))) and not any(map(sequence.closes, ("Dr.", "U.S.", "hello,")))
-
-
-def test_sentence_end_expression_agrees(spark):
-    tokens = ["today.", "really?", '"yes!"', "Dr.", "U.S.", "hello,", "a.b.c.", "ok)", "end.)"]
+def test_sentence_ends(spark):
+    tokens = {"today.": True, "really?": True, '"yes!"': True, "Dr.": False, "U.S.": False, "hello,": False, "a.b.c.": False, "ok)": False, "end.)": True}
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", sequence.ends_sentence(F.col("t")).alias("e")).collect()
-    assert {r.t: r.e for r in rows} == {t: sequence.closes(t) for t in tokens}
+    assert {r.t: r.e for r in rows} == tokens
 
 
-def test_utterances_split_at_speakers_pauses_and_sentences():
-    rows = [("Hi", "a", 0.0), ("there.", "a", 0.3), ("Well", "b", 0.6), ("I", "b", 0.9), ("left", "b", 1.2), ("then", "b", 4.0), ("came", "b", 4.3), ("back.", "b", 4.6), ("Oh", "a", 5.0)]
-    cut = sequence.segment_recording([(i, t, who, s, s + 0.25) for i, (t, who, s) in enumerate(rows)])
-    assert cut == [[0, 1], [2, 3, 4], [5, 6, 7], [8]]
+def cut(spark, rows, **kw):
+    """The words of each utterance. rows: (text, speaker, start)."""
+    data = [("f", i, t, s, s + 0.2, who) for i, (t, who, s) in enumerate(rows)]
+    return [list(range(r.word_start, r.word_end)) for r in sequence.build_utterances(spark.createDataFrame(data, WORD), **kw).orderBy("idx").collect()]
 
 
-def test_long_utterance_splits_at_a_comma():
-    rows = [(i, f"word{i}" + ("," if i == 35 else ""), "a", i * 0.3, i * 0.3 + 0.2) for i in range(60)]
-    cut = sequence.segment_recording(rows)
-    assert [len(c) for c in cut] == [36, 24] and sum(cut, []) == list(range(60))
-    assert [len(c) for c in sequence.segment_recording([(i, "w", "a", i * 0.3, i * 0.3 + 0.2) for i in range(60)])] == [50, 10]
+def test_utterances_split_at_speakers_pauses_and_sentences(spark):
+    rows = [("Hi", "a", 0.0), ("there.", "a", 0.3), ("Well", "b", 0.6), ("I", "b", 0.9), ("left", "b", 1.2), ("then", "b", 4.0), ("came", "b", 4.3), ("back.", "b", 4.6), ("Oh", "a", 5.0)]
+    assert cut(spark, rows) == [[0, 1], [2, 3, 4], [5, 6, 7], [8]]
+
+
+def test_long_utterances_split_at_commas(spark, monkeypatch):
+    from confab.operators import islands
+
+    parts = cut(spark, [(f"word{i}" + ("," if i == 35 else ""), "a", i * 0.3) for i in range(60)])
+    assert [len(c) for c in parts] == [36, 24] and sum(parts, []) == list(range(60))
+    assert [len(c) for c in cut(spark, [("w", "a", i * 0.3) for i in range(60)])] == [50, 10]
+    assert [len(c) for c in cut(spark, [("w" if i < 49 else "w.", "a", i * 0.3) for i in range(50)])] == [50]
+    # Word by word: a part is closed at its last allowed word, the words behind a comma are carried on.
+    rng = np.random.default_rng(2)
+    rows = [(str(rng.choice(["w", "w", "w", "w,", "w."], p=[0.5, 0.2, 0.2, 0.09, 0.01])), "ab"[int(rng.random() < 0.02)], i * 0.3 + 2 * (rng.random() < 0.01)) for i in range(700)]
+    want, part = [], []
+    for i, (t, who, s) in enumerate(rows):
+        if part and (who != rows[i - 1][1] or s - (rows[i - 1][2] + 0.2) >= 1.5):
+            want, part = [*want, part], []
+        part = [*part, i]
+        if t == "w.":
+            want, part = [*want, part], []
+        elif len(part) == 8:
+            at = max((k + 1 for k in range(5, 8) if rows[part[k]][0] == "w,"), default=8)
+            want, part = [*want, part[:at]], part[at:]
+    want = [*want, part] if part else want
+    for size in (2048, 50):
+        monkeypatch.setattr(islands, "CHUNK", size)
+        assert cut(spark, rows, max_words=8) == want
 
 
 def test_build_utterances_and_turns(spark):
@@ -53,16 +73,25 @@ def test_clean_words(spark):
     assert [r.new_idx for r in sequence.reindex(spark.createDataFrame(data, WORD)).orderBy("word_idx").collect()] == [0, 1, 1]
 
 
-def test_sub_words_merge():
-    tokens = [{"text": t, "start_sec": s, "end_sec": e, "prob": p} for t, s, e, p in ((" an", 0.0, 0.2, 0.9), (" F", 0.2, 0.5, 0.8), ("-15", 0.5, 0.8, 0.6), (" jet.", 0.8, 1.0, 0.9))]
-    merged, ends = sequence.merge_subwords(tokens, [{"text": " an F-15 jet.", "word_start": 0, "word_end": 4}])
-    assert [m["text"] for m in merged] == ["an", "F-15", "jet."] and (merged[1]["start_sec"], merged[1]["end_sec"], merged[1]["prob"]) == (0.2, 0.8, 0.6) and ends == {2}
+def test_merge_continuations(spark):
+    w = [("f", 0, " an", 0.0, 0.2, 0.9), ("f", 1, " F", 0.2, 0.5, 0.8), ("f", 2, "-15", 0.5, 0.8, 0.6), ("f", 3, " jet.", 0.8, 1.0, 0.9), ("f", 4, "-x", 1.0, 1.1, 0.5), ("f", 5, " ", 1.1, 1.2, 0.5), ("f", 6, "lost", 1.2, 1.3, 0.5), ("f", 7, "y", 1.3, 1.4, 0.5), ("g", 0, "a", 0.0, 0.1, 1.0)]
+    table = spark.createDataFrame(w, "file_id string, word_idx int, text string, start_sec double, end_sec double, prob double")
+    s = spark.createDataFrame([("f", " an F-15 jet.", 0, 4), ("f", "-x y", 4, 8), ("g", "a", 0, 1), ("g", "", 1, 1)], "file_id string, text string, word_start int, word_end int")
+    found = [(r.file_id, r.word_idx, r.text, r.prob, r.ends_segment) for r in sequence.merge_continuations(table, s).orderBy("file_id", "word_idx").collect()]
+    assert found == [("f", 0, "an", 0.9, False), ("f", 1, "F-15", 0.6, False), ("f", 2, "jet.", 0.9, True), ("f", 3, "-x", 0.5, False), ("f", 4, "lost", 0.5, False), ("f", 5, "y", 0.5, True), ("g", 0, "a", 1.0, True)]
 
 
-def test_merge_continuations(spark):
-    w = spark.createDataFrame([("f", 0, " F", 0.0, 0.1, 1.0), ("f", 1, "-15", 0.1, 0.2, 0.5)], "file_id string, word_idx int, text string, start_sec double, end_sec double, prob double")
-    s = spark.createDataFrame([("f", " F-15", 0, 2)], "file_id string, text string, word_start int, word_end int")
-    assert [(r.text, r.prob, r.ends_segment) for r in sequence.merge_continuations(w, s).collect()] == [("F-15", 0.5, True)]
+def test_what_lies_before_does_not_depend_on_chunks(spark, small, monkeypatch):
+    from confab import catalogue
+    from confab.operators import islands
+
+    names = ("e2_turns", "e3_speech_regions", "e5_build_utterances", "e8_clean_words", "e10_reindex", "e11_boundaries", "c_as_of_utterance")
+    rows = lambda name: sorted(map(repr, catalogue.QUERIES[name](spark, small).collect()))
+    whole = {n: rows(n) for n in names}
+    monkeypatch.setattr(islands, "CHUNK", 7)
+    monkeypatch.setattr(islands, "CHUNK_SEC", 5.0)
+    for n in names:
+        assert rows(n) == whole[n] and whole[n], n
 
 
 def test_regions_and_windows(spark):
@@ -84,8 +113,8 @@ def test_passages_cover_everything():
     rng = np.random.default_rng(1)
     for _ in range(50):
         counts = rng.integers(0, 15, rng.integers(1, 40)).tolist()
-        cut = sequence.passages(counts, 20, 10)
-        assert {i for a, b in cut for i in range(a, b)} == set(range(len(counts))) and cut[-1][1] == len(counts)
+        cut = sequence.passages(np.array(counts), 20, 10).tolist()
+        assert {i for a, b in cut for i in range(a, b)} == set(range(len(counts))) and (not counts or cut[-1][1] == len(counts))
         assert all(a[0] < b[0] for a, b in zip(cut, cut[1:]))
         assert all(sum(counts[a:b]) >= 20 for a, b in cut[:-1])
 
