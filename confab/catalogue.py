@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.config import SYSTEMS, SearchOptions, Settings
-from confab.functions.text import STOPWORDS, content_tokens, tokens, vocabulary_terms, word_count
+from confab.functions.text import FOLDED, PLAIN, STOPWORDS, content_tokens, tokens, vocabulary_terms, word_count
 from confab.functions.vectors import hash_embedding
 from confab.operators import alignment, diarization, evaluation, fusion, index, islands, moments, querying, retrieval, roles, sequence
 from confab.plans import search as plan
@@ -62,10 +62,10 @@ def embedded(spark: SparkSession, at: str, name: str) -> DataFrame:
     return index.latest(raw(spark, at, name), ["id"], ["id", "embedding"])
 
 
-def asked(spark: SparkSession, at: str) -> DataFrame:
-    """The stated query set: query_id, query, category, role, split."""
+def asked(spark: SparkSession, at: str, every: int = EVERY) -> DataFrame:
+    """The stated query set, or with every=1 all labelled queries: query_id, query, category, role, split."""
     g = base(spark, at, "golden_queries", "query", "category", "role", "split")
-    return g.where(F.expr("try_cast(regexp_extract(id, '([0-9]+)', 1) as bigint)") % EVERY == 0).select(F.col("id").alias("query_id"), "query", "category", "role", "split")
+    return g.where(F.expr("try_cast(regexp_extract(id, '([0-9]+)', 1) as bigint)") % every == 0).select(F.col("id").alias("query_id"), "query", "category", "role", "split")
 
 
 def labels(spark: SparkSession, at: str) -> DataFrame:
@@ -74,7 +74,7 @@ def labels(spark: SparkSession, at: str) -> DataFrame:
 
 # SQL of the shared pieces.
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
-TOK = """regexp_extract_all(replace(regexp_replace(lower(replace(replace({0}, '’', ''''), '‘', '''')), '''s\\b', '', 'g'), '''', ''), '[a-z0-9]+')"""
+TOK = "regexp_extract_all(replace(regexp_replace(lower(translate({0}, '" + FOLDED + "', '" + PLAIN.replace("'", "''") + "')), '''s\\b', '', 'g'), '''', ''), '[a-z0-9]+')"
 CONTENT = "list_filter(" + TOK + f", lambda t: length(t) >= 3 and not list_contains({STOP}, t) and not regexp_matches(t, '^[0-9]+$'))"
 SPACES = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORDS = "len(regexp_extract_all(coalesce({0}, ''), '[^" + SPACES.replace("{", "{{").replace("}", "}}") + "]+'))"
@@ -96,6 +96,7 @@ BM25 = """scored as (
   from qlex q join stats s using (lexeme) join posted p using (lexeme) join lengths l using (chunk_id), corpus c group by 1, 2),
 top as (select * from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from scored) where rank <= 50)"""
 LEXICAL = f"with {GQ}, {ASKED}, {CH}, {POSTED}, {STATS}, {QLEX}, {BM25}"
+ALL_LEXICAL = LEXICAL.replace(f"% {EVERY} = 0", "% 1 = 0")
 UNIT = "list_dot_product(v::double[], q::double[]) / (sqrt(list_dot_product(v::double[], v::double[])) * sqrt(list_dot_product(q::double[], q::double[])))"
 DENSE = f"""vec as materialized (select distinct on (id) id, embedding as v from chunks where list_aggregate(list_transform(embedding, lambda x: x * x), 'sum') > 0),
 dq as (select id as query_id, v as q from vec where try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % {EVERY} = 0),
@@ -103,8 +104,8 @@ dscored as (select query_id, id, round({UNIT}, 6) as score from dq, vec),
 dtop as (select * from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from dscored) where rank <= 20)"""
 
 
-def parsed(spark: SparkSession, at: str) -> DataFrame:
-    return querying.parse_queries(asked(spark, at)).where("q_error is null")
+def parsed(spark: SparkSession, at: str, every: int = EVERY) -> DataFrame:
+    return querying.parse_queries(asked(spark, at, every)).where("q_error is null")
 
 
 def lexical_tables(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -114,8 +115,8 @@ def lexical_tables(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame,
     return posted, index.term_stats(posted), lengths, index.corpus_stats(lengths)
 
 
-def lexical_hits(spark: SparkSession, at: str) -> DataFrame:
-    return retrieval.bm25(retrieval.query_lexemes(parsed(spark, at)), *lexical_tables(spark, at))
+def lexical_hits(spark: SparkSession, at: str, every: int = EVERY) -> DataFrame:
+    return retrieval.bm25(retrieval.query_lexemes(parsed(spark, at, every)), *lexical_tables(spark, at))
 
 
 def dense_hits(spark: SparkSession, at: str, k: int = 20) -> DataFrame:
@@ -363,12 +364,37 @@ def e4_sliding_windows(spark, at):  # noqa: ANN001, ANN201
     return sequence.sliding_windows(sequence.speech_regions(base(spark, at, "words", "start_sec", "end_sec")))
 
 
-@query()
+@query(
+    f"""with recursive {WO}, seen as (select *, lag(word_idx) over w is null or speaker is distinct from lag(speaker) over w or start_sec - lag(end_sec) over w >= 1.5::double or coalesce(lag({ENDS}) over w, false) as opens from wo window w as (partition by file_id order by word_idx)),
+    marked as (select *, sum(opens::int) over (partition by file_id order by word_idx) as stretch from seen),
+    st as (select file_id, stretch, list(text order by word_idx) as ts, list(word_idx order by word_idx) as ws, list(start_sec order by word_idx) as s0, list(end_sec order by word_idx) as s1, count(*) as n, min_by(speaker, word_idx) as speaker, max_by({ENDS}, word_idx) as closed from marked group by 1, 2),
+    parts as (select file_id, stretch, 0::bigint as a from st union all
+      select p.file_id, p.stretch, p.a + coalesce(list_max(list_filter(range(27, 51), lambda k: st.ts[p.a + k] like '%,')), 50) from parts p join st using (file_id, stretch) where p.a + 50 <= st.n - st.closed::int),
+    cut as (select *, coalesce(lead(a) over (partition by file_id, stretch order by a), n) as b from parts join st using (file_id, stretch)),
+    named as (select *, row_number() over (partition by file_id order by ws[a + 1]) - 1 as idx from cut where b > a)
+    select file_id, file_id || '_u' || lpad(idx::varchar, greatest(4, length(idx::varchar))::int, '0') as id, idx::int as idx, coalesce(nullif(speaker, ''), 'SPEAKER_00') as speaker, s0[a + 1] as start_sec, s1[b] as end_sec, trim(array_to_string(ts[a + 1:b], ' ')) as text, ws[a + 1]::int as word_start, (ws[b] + 1)::int as word_end from named"""
+)
 def e5_build_utterances(spark, at):  # noqa: ANN001, ANN201
     return sequence.build_utterances(base(spark, at, "words"))
 
 
-@query()
+@query(
+    f"""with recursive {UT}, f as (select *, case when lag(idx) over w is null or speaker is distinct from lag(speaker) over w then 1 else 0 end as opens from ut window w as (partition by file_id order by idx)),
+    t as (select *, sum(opens) over (partition by file_id order by idx) - 1 as turn from f),
+    q as (select file_id, turn + 1 as turn, max(idx) as question_idx from t where rtrim(text) like '%?' group by 1, 2),
+    asks as (select t.file_id, t.idx, u.text as question from t join q using (file_id, turn) join ut u on u.file_id = t.file_id and u.idx = q.question_idx where t.idx > 0 and round(t.start_sec - u.end_sec, 9) <= 240),
+    counted as (select file_id, idx, coalesce(text, '') as text, speaker, start_sec, end_sec, {WORDS.format('text')} as n, row_number() over (partition by file_id order by idx) - 1 as pos, count(*) over (partition by file_id) as total from ut),
+    run as (select *, sum(n) over (partition by file_id order by pos) - n as before, sum(n) over (partition by file_id order by pos) as upto from counted),
+    ends as (select a.file_id, a.pos, any_value(a.total) as total, coalesce(min(b.pos) filter (b.upto >= a.before + 50) + 1, any_value(a.total)) as j, min(b.pos) filter (b.upto >= a.before + 25) + 1 as k from run a join run b on b.file_id = a.file_id and b.pos >= a.pos group by 1, 2),
+    wins as (select file_id, 0::bigint as pos from ends where pos = 0 union all select w.file_id, greatest(least(coalesce(e.k, e.j), e.j), w.pos + 1) from wins w join ends e using (file_id, pos) where e.j < e.total),
+    nums as (select w.file_id, w.pos, e.j, row_number() over (partition by w.file_id order by w.pos) - 1 as idx from wins w join ends e using (file_id, pos)),
+    made as (select m.file_id, m.idx, min(r.idx) as utt_start, max(r.idx) + 1 as utt_end, min_by(r.start_sec, r.idx) as start_sec, max_by(r.end_sec, r.idx) as end_sec, list(r.speaker order by r.idx) as who, string_agg(r.text, ' ' order by r.idx) as text, sum(r.n)::int as n_words from nums m join run r on r.file_id = m.file_id and r.pos >= m.pos and r.pos < m.j group by 1, 2),
+    titles as (select file_id, any_value(title) as title from manifest group by 1)
+    select m.file_id, m.file_id || '_c' || lpad(m.idx::varchar, greatest(4, length(m.idx::varchar))::int, '0') as id, m.idx::int as idx, start_sec, end_sec, utt_start::int as utt_start, utt_end::int as utt_end,
+      list_transform(list_filter(list_zip(who, range(1, len(who) + 1)), lambda x: list_position(who, x[1]) = x[2]), lambda x: x[1]) as speakers, text, n_words,
+      concat_ws(chr(10), title || '.', array_to_string(list_slice(string_split_regex(trim(question), '\\s+'), -40, -1), ' '), text) as embed_text
+    from made m left join titles using (file_id) left join asks on asks.file_id = m.file_id and asks.idx = m.utt_start"""
+)
 def e6_build_chunks(spark, at):  # noqa: ANN001, ANN201
     return sequence.build_chunks(base(spark, at, "utterances", "file_id", "idx", "speaker", "start_sec", "end_sec", "text"), Settings(chunk_context="question+title"), raw(spark, at, "manifest"))
 
@@ -444,7 +470,19 @@ def f10_unknown_speakers(spark, at):  # noqa: ANN001, ANN201
 
 
 # G: retrieval.
-@query()
+GRAMMAR = r"(?i)\b(role|speaker|file):([A-Za-z0-9_\-]+)"
+PARSED = f"""with {GQ}, p as (select id as query_id, coalesce(query, '') as q from gq),
+f as (select *, list_zip(list_transform(regexp_extract_all(q, '{GRAMMAR}', 1), lambda k: lower(k)), regexp_extract_all(q, '{GRAMMAR}', 2)) as named, regexp_replace(q, '{GRAMMAR}', ' ', 'g') as body from p),
+g as (select *, list_transform(list_filter(named, lambda x: x[1] = 'role'), lambda x: lower(x[2])) as roles, list_transform(list_filter(named, lambda x: x[1] = 'speaker'), lambda x: x[2]) as speakers, list_transform(list_filter(named, lambda x: x[1] = 'file'), lambda x: x[2]) as files,
+  list_filter(list_transform(regexp_extract_all(body, '"([^"]{{1,200}})"', 1), lambda x: trim(x)), lambda x: x <> '') as phrases, trim(regexp_replace(replace(body, '"', ' '), '\\s+', ' ', 'g')) as t from f),
+e as (select *, {TOK.format('t')} as toks, case when trim(q) = '' then 'nothing asked' when length(q) > 512 then printf('%d characters, at most %d are allowed', length(q), 512)
+  when len(list_filter(roles, lambda r: r not in ('host', 'guest'))) > 0 then 'no such role: ' || list_filter(roles, lambda r: r not in ('host', 'guest'))[1] when t = '' then 'filters without words to search for' end as err from g),
+c as (select *, list_filter(toks, lambda w: length(w) >= 3 and not list_contains({STOP}, w) and not regexp_matches(w, '^[0-9]+$')) as cont from e)
+select query_id, case when err is null then t end as q_text, case when err is null then array_to_string(phrases, '|') else '' end as phrases, case when err is null then roles[-1] end as q_role, case when err is null then upper(speakers[-1]) end as q_speaker,
+  case when err is null then array_to_string(files, '|') else '' end as files, case when err is null then case when len(phrases) > 0 then 'phrase' when len(toks) > 0 and (t like '%?' or toks[1] in ({", ".join(f"'{w}'" for w in querying.STARTERS)})) then 'question' when len(toks) <= 3 and len(cont) <= 2 then 'keyword' else 'topic' end end as q_intent, err as q_error from c"""
+
+
+@query(PARSED)
 def g1_g2_parse_queries(spark, at):  # noqa: ANN001, ANN201
     p = querying.parse_queries(base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), "query"))
     return p.select("query_id", "q_text", F.array_join("q_phrases", "|").alias("phrases"), "q_role", "q_speaker", F.array_join("q_files", "|").alias("files"), "q_intent", "q_error")
@@ -460,6 +498,14 @@ def g5_dense(spark, at):  # noqa: ANN001, ANN201
     return dense_hits(spark, at)
 
 
+@query()
+def g5_dense_by_cells(spark, at):  # noqa: ANN001, ANN201
+    """The approximate form of g5_dense."""
+    vectors = embedded(spark, at, "chunks")
+    numbered = vectors.where(F.expr("try_cast(regexp_extract(id, '([0-9]+)$', 1) as bigint)") % EVERY == 0)
+    return retrieval.dense_by_cells(numbered.select(F.col("id").alias("query_id"), "embedding"), vectors, retrieval.centres_of(vectors), 20)
+
+
 FUSED = f"""with raws as (select distinct on (query_id, id) * from fused),
 ch as (select query_id, id, unnest(map_keys(raw)) as channel, unnest(map_values(raw)) as v from raws),
 scored as (select query_id, id, channel, case when channel = 'dense_l2' then -v else v end as score from ch where v is not null),
@@ -531,14 +577,28 @@ def g9_g12_soundslike_expansion(spark, at):  # noqa: ANN001, ANN201
     return retrieval.expansions(_query_tokens(spark, at), index.vocabulary(base(spark, at, "chunks", "text")))
 
 
-@query()
+@query(
+    f"""{FUSED}, f as (select query_id, id, round(sum({WEIGHT} / (10 + rank)), 9) as score, min(rank)::int as best from ranked where channel <> 'phonetic' group by 1, 2),
+    placed as (select *, row_number() over (partition by query_id order by score desc, best, id)::int as position from f),
+    texts as (select distinct on (id) id, text from chunks order by id, indexed_at desc), asks as (select distinct on (id) id as query_id, query from golden_queries),
+    head as (select p.*, list_distinct({CONTENT.format('query')}) as q, {CONTENT.format('text')} as t from placed p join texts using (id) join asks using (query_id) where position <= 30),
+    again as (select *, row_number() over (partition by query_id order by round(len(list_intersect(q, list_distinct(t)))::double / greatest(len(q), 1), 9) desc, position)::int as rerank from head),
+    fresh as (select query_id, id, round(1.0::double / (10 + position) + 1.0::double / (10 + rerank), 9) as score, least(best_of.best, rerank)::int as best from (select *, position as best_at from again) again, lateral (select again.position as best) best_of),
+    again_placed as (select query_id, id, score, best, row_number() over (partition by query_id order by score desc, best, id)::int as position from fresh)
+    select * from again_placed union all select query_id, id, score, best, position from placed where position > 30"""
+)
 def g13_rerank(spark, at):  # noqa: ANN001, ANN201
     fused = fusion.reciprocal_ranks(_channels(spark, at))
     queries = base(spark, at, "golden_queries", "query").select(F.col("id").alias("query_id"), F.col("query").alias("q_text"))
     return fusion.rerank(fused, base(spark, at, "chunks", "text"), queries).drop("ranks")
 
 
-@query()
+@query(
+    f"""with {CH}, t as (select id, unnest({TOK.format('text')}) as tok from ch), h as (select id, ('0x' || right(md5(tok), 2))::int & 63 as slot, case when ('0x' || substr(md5(tok), 29, 2))::int & 1 = 1 then 1 else -1 end as sign from t),
+    s as (select id, slot, sum(sign)::double as v from h group by 1, 2), n as (select id, sqrt(sum(v * v)) as norm from s group by 1),
+    grid as (select ch.id, k.slot::int as slot, coalesce(s.v, 0) as v, coalesce(n.norm, 0) as norm from ch, range(64) k(slot) left join s on s.id = ch.id and s.slot = k.slot left join n on n.id = ch.id)
+    select id, list(round((case when norm > 0 then v / norm else 0.125 end)::float::double, 6) order by slot) as v from grid group by 1"""
+)
 def g23_hash_embedding(spark, at):  # noqa: ANN001, ANN201
     v = base(spark, at, "chunks", "text").select("id", hash_embedding(F.col("text")).alias("v"))
     return v.select("id", F.transform("v", lambda x: F.round(x.cast("double"), 6)).alias("v"))
@@ -618,15 +678,16 @@ def h7_c8_drift(spark, at):  # noqa: ANN001, ANN201
 
 
 # I: evaluation.
-HITS = f"""{LEXICAL}, gold as (select id as query_id, (generate_subscripts(relevant, 1) - 1)::int as label, unnest(relevant).file as file, unnest(relevant).start_sec as start_sec, unnest(relevant).end_sec as end_sec, coalesce(unnest(relevant).grade, 2) as grade from gq),
+HITS = f"""{ALL_LEXICAL}, gold as (select id as query_id, (generate_subscripts(relevant, 1) - 1)::int as label, unnest(relevant).file as file, unnest(relevant).start_sec as start_sec, unnest(relevant).end_sec as end_sec, coalesce(unnest(relevant).grade, 2) as grade from gq),
 ret as (select t.query_id, t.rank, ch.file_id as file, ch.start_sec, ch.end_sec from top t join ch on ch.id = t.id where t.rank <= 10),
 hits as (select r.query_id, r.rank, r.start_sec, g.label, g.grade, g.start_sec as gold_start from ret r join gold g on g.query_id = r.query_id and g.file = r.file and r.start_sec <= g.end_sec + 5 and r.end_sec >= g.start_sec - 5)"""
 
 
 def _judged(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """Of all labelled queries."""
     spots = base(spark, at, "chunks", "file_id", "start_sec", "end_sec").select("id", F.col("file_id").alias("file"), "start_sec", "end_sec")
-    returned = lexical_hits(spark, at).where("rank <= 10").join(spots, "id").select("query_id", "rank", "file", "start_sec", "end_sec")
-    gold = labels(spark, at).join(asked(spark, at).select("query_id"), "query_id", "left_semi")
+    returned = lexical_hits(spark, at, 1).where("rank <= 10").join(spots, "id").select("query_id", "rank", "file", "start_sec", "end_sec")
+    gold = labels(spark, at).join(asked(spark, at, 1).select("query_id"), "query_id", "left_semi")
     return evaluation.interval_hits(returned, gold, Settings().tolerance), gold
 
 
@@ -640,20 +701,38 @@ def i2_mrr_and_success(spark, at):  # noqa: ANN001, ANN201
     return evaluation.query_metrics(*_judged(spark, at)).select("query_id", "mrr", "success5")
 
 
-@query()
+METRICS = HITS.replace("with ", "with recursive ", 1) + f""", held as (select query_id, rank, list({{'label': label, 'grade': grade}} order by grade desc, label) as h from hits group by 1, 2),
+steps as (
+  select distinct query_id, 0 as rank, []::int[] as used, null::int as grade from hits
+  union all
+  select s.query_id, s.rank + 1, case when f.x is null then s.used else list_append(s.used, f.x.label) end, f.x.grade
+  from steps s left join held h on h.query_id = s.query_id and h.rank = s.rank + 1, lateral (select list_filter(h.h, lambda x: not list_contains(s.used, x.label))[1] as x) f where s.rank < 10),
+credited as (select query_id, rank, grade from steps where rank > 0 and grade is not null),
+marks as (select query_id, {", ".join(f"count(*) filter (rank <= {k}) as c{k}" for k in (1, 3, 5, 10))}, sum((pow(2.0::double, grade) - 1) / log2(rank + 1.0::double)) as dcg from credited group by 1),
+near as (select query_id, rank, min(abs(start_sec - gold_start)) as off from hits group by 1, 2),
+any_hit as (select query_id, {", ".join(f"count(*) filter (rank <= {k}) as a{k}" for k in (1, 3, 5, 10))}, min(rank) as first_hit, arg_min(off, rank) as off from near group by 1),
+ranked_labels as (select query_id, grade, row_number() over (partition by query_id order by grade desc) as i from gold join asked using (query_id)),
+ideals as (select query_id, count(*) as labels, sum((pow(2.0::double, grade) - 1) / log2(i + 1.0::double)) filter (i <= 10) as ideal from ranked_labels group by 1),
+metrics as (select query_id, {", ".join(f"round(coalesce(c{k}, 0) / labels::double, 6) as recall{k}" for k in (1, 3, 5, 10))}, {", ".join(f"case when a{k} > 0 then 1.0::double else 0.0::double end as success{k}" for k in (1, 3, 5, 10))},
+  {", ".join(f"round(coalesce(a{k}, 0) / {k}::double, 6) as precision{k}" for k in (1, 3, 5, 10))}, round(coalesce(1.0::double / first_hit, 0), 6) as mrr, round(case when ideal > 0 then coalesce(dcg, 0) / ideal else 0 end, 6) as ndcg10, first_hit::int as first_hit, round(off, 6) as offset_sec
+  from ideals left join marks using (query_id) left join any_hit using (query_id))"""
+NAMES = [*(f"{m}{k}" for m in ("recall", "success", "precision") for k in (1, 3, 5, 10)), "mrr", "ndcg10"]
+
+
+@query(f"{METRICS} select * from metrics")
 def i1_i4_query_metrics(spark, at):  # noqa: ANN001, ANN201
     return evaluation.query_metrics(*_judged(spark, at))
 
 
-@query()
+@query(f"""{METRICS} select category, count(*) as n, {", ".join(f"round(avg({m}), 6) as {m}" for m in NAMES)}, median(offset_sec) as median_offset from metrics join (select id as query_id, category from gq) using (query_id) group by grouping sets ((category), ())""")
 def d13_summary_by_category(spark, at):  # noqa: ANN001, ANN201
-    m = evaluation.query_metrics(*_judged(spark, at)).join(asked(spark, at).select("query_id", "category"), "query_id")
+    m = evaluation.query_metrics(*_judged(spark, at)).join(asked(spark, at, 1).select("query_id", "category"), "query_id")
     return evaluation.summary(m, ["category"])
 
 
 @query()
 def d15_bootstrap(spark, at):  # noqa: ANN001, ANN201
-    m = evaluation.query_metrics(*_judged(spark, at)).join(asked(spark, at).select("query_id", F.coalesce("category", F.lit("none")).alias("category")), "query_id")
+    m = evaluation.query_metrics(*_judged(spark, at)).join(asked(spark, at, 1).select("query_id", F.coalesce("category", F.lit("none")).alias("category")), "query_id")
     return evaluation.bootstrap_table(m, ["category"], "mrr")
 
 
