@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from confab.functions.clusters import kmeans, nearest
 from confab.session import stage
 
 #: Vectors a cell should hold, on average; the sample the codebooks are learnt on: so many vectors at least, and a word.
@@ -30,27 +31,6 @@ BLOCK = 8192
 #: Without a floor a query asks in so many cells for each root of their number; a task holds neighbouring cells of about
 #: GROUP vectors.
 SPREAD, GROUP = 1.5, 32_768
-ROUNDS = 8
-
-
-def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
-    """Centres by Lloyd's rounds; empty ones move to random rows."""
-    c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
-    for _ in range(rounds):
-        own = nearest(x, c)
-        count = np.bincount(own, minlength=k)
-        order = np.argsort(own, kind="stable")
-        filled = np.flatnonzero(count)
-        first = np.searchsorted(own[order], filled)
-        c[filled] = np.add.reduceat(x[order], first, axis=0) / count[filled][:, None]
-        empty = np.flatnonzero(count == 0)
-        c[empty] = x[rng.choice(len(x), len(empty))]
-    return c
-
-
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half = 0.5 * (c * c).sum(1)
-    return np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
 class Codebooks:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.llm import mixing, neighbours, overlap, packing, ranking, reading, runs, splitting, terms, turns
@@ -68,6 +68,17 @@ def p4_found(spark: SparkSession, at: str) -> DataFrame:
     return p4_pieces(spark, at).where("n_pieces > 1").select("id").distinct()
 
 
+def p4_checks(spark: SparkSession, at: str) -> DataFrame:
+    """What pieces must be, by chunk: they cover its words from the first to the last without a gap, none is over the limit,
+    their texts are their words, and neighbours share words."""
+    rows = p4_pieces(spark, at)
+    before = Window.partitionBy("id").orderBy("piece")
+    seen = rows.select("id", "piece", "word_start", "word_end", "overlap", F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")).alias("n"), F.lag("word_end").over(before).alias("past"))
+    gapless = F.bool_and(F.when(F.col("piece") == 0, F.col("word_start") == 0).otherwise((F.col("word_start") < F.col("past")) & (F.col("overlap") == F.col("past") - F.col("word_start"))))
+    fits = (F.col("word_end") - F.col("word_start") <= splitting.LIMIT) & (F.col("n") == F.col("word_end") - F.col("word_start"))
+    return seen.groupBy("id").agg(F.max("word_end").cast("long").alias("words"), gapless.alias("gapless"), F.bool_and(fits).alias("fits"), F.bool_and(F.col("overlap").between(10, 30) | (F.col("piece") == 0)).alias("shared"))
+
+
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, at, "golden_queries")).select("id_a", "id_b")
 
@@ -104,6 +115,14 @@ def p8_found(spark: SparkSession, at: str) -> DataFrame:
     return packing.divided(p8_bins(spark, at))
 
 
+def p8_checks(spark: SparkSession, at: str) -> DataFrame:
+    """What containers must be, by document: its tokens, its pieces, whether they follow one another, and whether all its
+    containers hold at most the capacity."""
+    rows = p8_bins(spark, at)
+    full = rows.groupBy("bin").agg((F.sum("length") <= packing.CAPACITY).alias("fits"))
+    return rows.join(full, "bin").groupBy("doc_id").agg(F.sum("length").alias("tokens"), F.count(F.lit(1)).alias("pieces"), (F.sum("length") == F.max(F.col("start") + F.col("length"))).alias("whole"), F.bool_and("fits").alias("fits"))
+
+
 def p8_report(spark: SparkSession, at: str) -> DataFrame:
     return packing.fill_report(p8_bins(spark, at))
 
@@ -136,8 +155,8 @@ def p10_found(spark: SparkSession, at: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_runs, p2_found, p2_turns, p2_utterances, p2_times, p3_found, p3_nearest, p4_found, p4_pieces, p5_found, p5_report, p6_found, p6_ranking,
-        p7_found, p7_terms, p7_ngrams, p8_found, p8_bins, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_sources,
+        p1_found, p1_runs, p2_found, p2_turns, p2_utterances, p2_times, p3_found, p3_nearest, p4_found, p4_pieces, p4_checks, p5_found, p5_report, p6_found, p6_ranking,
+        p7_found, p7_terms, p7_ngrams, p8_found, p8_bins, p8_checks, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_sources,
     )
 }
 
@@ -188,7 +207,35 @@ select source from listed
 where tokens * max_repeats < weight / (select sum(weight) from listed) * (select sum(tokens) from listed)
 """
 
+P6_ALL = P6[: P6.rindex("select query_id, id from")] + "select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from scores"
+
+FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+HALF = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+TERMS = f"regexp_extract_all(replace(regexp_replace(lower(translate(replace(replace(text, '’', ''''), '‘', ''''), '{FULL}', '{HALF}')), '''s\\b', '', 'g'), '''', ''), '[a-z0-9]+')"
+
+
+def _terms(longest: int, columns: str, where: str = "true") -> str:
+    """Terms by list, for texts whose compatibility characters are full-width letters and digits."""
+    return f"""with texts as (select id, max(text) as text from chunks where id is not null group by 1), t as (select id, {TERMS} as t from texts),
+g as (select id, unnest(flatten(list_transform(range(1, {longest + 1}), lambda n: list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))))) as term from t),
+c as (select term, len(string_split(term, ' '))::int as n_terms, count(*) as occurrences, count(distinct id) as records, (select count(*) from texts) as all_records from g group by 1)
+select {columns} from (select *, case when records > {terms.COMMON_ABOVE}::double * all_records then 'common' when records < {terms.RARE_BELOW} then 'rare' end as mark from c) where {where}"""
+
+
+P4_CHECKS = f"""with big as (select id, any_value(len(regexp_extract_all(text, '[^{SPACE}]+'))) as words from chunks group by id)
+select id, words, true as gapless, true as fits, true as shared from big where words > {splitting.LIMIT}"""
+P8_CHECKS = f"""with sizes as (select doc_id, max({SIZE}) as n from documents group by 1)
+select doc_id, n as tokens, greatest(1, ceil(n / {packing.CAPACITY}.0)::bigint) as pieces, true as whole, true as fits from sizes where n > 0"""
+P2_TIMES = "select file_id, id, start_sec, greatest(end_sec, start_sec) as end_sec from (select distinct on (id) * from utterances order by id, indexed_at desc)"
+
 SQL = {
+    "p2_times": P2_TIMES,
+    "p4_checks": P4_CHECKS,
+    "p6_ranking": P6_ALL,
+    "p7_found": _terms(1, "term, mark", "mark is not null"),
+    "p7_terms": _terms(1, "term, n_terms, occurrences, records, all_records, mark"),
+    "p7_ngrams": _terms(3, "term, n_terms, occurrences, records, all_records, mark"),
+    "p8_checks": P8_CHECKS,
     "p4_found": f"select distinct id from chunks where len(regexp_extract_all(text, '[^{SPACE}]+')) > {splitting.LIMIT}",
     "p6_found": P6,
     "p8_found": f"select distinct doc_id from documents where {SIZE} > {packing.CAPACITY}",
