@@ -1,4 +1,4 @@
-"""Command line: build an index, search it, show its statistics, evaluate it."""
+"""Command line: build an index, search it, list what it holds, evaluate it, delete it."""
 
 from __future__ import annotations
 
@@ -9,24 +9,12 @@ import os
 from pyspark.sql import functions as F
 
 from confab.config import SYSTEMS
-from confab.operators import evaluation
-from confab.plans import experiments
-from confab.plans.search import Index, build_index, search
-from confab.session import build_session, ship
+from confab.operators import evaluation, index
+from confab.plans import experiments, library
+from confab.plans.search import build_index, search
+from confab.session import build_session, ship, staging
 from confab.sources import transcripts
 
-TABLES = ("chunks", "utterances", "speakers", "manifest", "occurrences", "postings", "stats", "lengths", "corpus", "vocabulary")
-
-
-def save(ix: Index, folder: str) -> None:
-    for name in TABLES:
-        getattr(ix, name).write.mode("overwrite").parquet(os.path.join(folder, name))
-
-
-def load(spark, folder: str, analyzer: str = "simple", profile: str = "hash") -> Index:  # noqa: ANN001
-    return Index(*(spark.read.parquet(os.path.join(folder, name)) for name in TABLES), analyzer, profile)
-
-
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="confab", description=__doc__)
     parser.add_argument("--master", default=None)
@@ -35,6 +23,12 @@ def main(argv: list[str] | None = None) -> None:
     build = commands.add_parser("build", help="index the tables chunks, utterances, speakers and manifest of a folder")
     build.add_argument("tables")
     build.add_argument("index")
+    build.add_argument("--force", action="store_true", help="build even if the passages haven't changed")
+    for name, what in (("files", "list recordings"), ("reset", "delete an index")):
+        commands.add_parser(name, help=what).add_argument("index")
+    show = commands.add_parser("transcript", help="print one recording")
+    show.add_argument("index")
+    show.add_argument("file_id")
     ask = commands.add_parser("search", help="answer one query")
     ask.add_argument("index")
     ask.add_argument("query")
@@ -51,11 +45,31 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session("confab", args.master)
     ship(spark)
     if args.command == "build":
-        read = lambda t, *keys: spark.read.parquet(os.path.join(args.tables, f"{t}.parquet")).dropDuplicates(list(keys))
-        save(build_index(read("chunks", "id"), read("utterances", "id"), read("speakers", "file_id", "label"), read("manifest", "file_id"), args.analyzer), args.index)
+        def read(table: str, *keys: str):  # noqa: ANN202
+            df = spark.read.parquet(os.path.join(args.tables, f"{table}.parquet"))
+            return index.latest(df, list(keys), df.columns)
+
+        chunks = read("chunks", "id")
+        content, at = library.fingerprint(chunks), library.current(spark, args.index)
+        same = at and not args.force and spark.read.parquet(f"{at}/meta").where((F.col("key") == "content") & (F.col("value") == content)).limit(1).count()
+        if same:
+            print("the index is up to date")
+            return
+        with staging(spark):
+            built = build_index(chunks, read("utterances", "id"), read("speakers", "file_id", "label"), read("manifest", "file_id"), args.analyzer)
+            library.save(spark, built, args.index, content=content)
+        return
+    if args.command == "reset":
+        library.reset(spark, args.index)
         return
-    ix = load(spark, args.index, args.analyzer)
-    if args.command == "search":
+    ix = library.load(spark, args.index)
+    if args.command == "files":
+        for r in library.files(ix.manifest, ix.speakers).toLocalIterator():
+            print(r["file_id"], r["title"], ", ".join(x["display_name"] or x["label"] for x in r["speakers"] or []))
+    elif args.command == "transcript":
+        for r in library.transcript(ix.utterances, args.file_id).toLocalIterator():
+            print(f"[{r['start_sec']:.1f}] {r['speaker']}: {r['text']}")
+    elif args.command == "search":
         one = spark.createDataFrame([("q", args.query)], "query_id string, query string")
         options = dataclasses.replace(SYSTEMS[args.system], k=args.k)
         for r in search(ix, one, options).orderBy("rank").collect():  # at most max_k rows
@@ -75,7 +89,7 @@ def main(argv: list[str] | None = None) -> None:
         transcripts.write_report(evaluation.summary(rows, ["system", "category"]).where("system is not null").orderBy("system", "category"), args.report, "Evaluation")
 
 
-__all__ = ["load", "main", "save"]
+__all__ = ["main"]
 
 if __name__ == "__main__":
     main()

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.config import SYSTEMS, SearchOptions, Settings
+from confab.functions import nested
 from confab.functions.text import FOLDED, PLAIN, STOPWORDS, content_tokens, tokens, vocabulary_terms, word_count
 from confab.functions.vectors import hash_embedding
 from confab.operators import alignment, diarization, evaluation, fusion, index, islands, moments, querying, retrieval, roles, sequence
+from confab.plans import library
 from confab.plans import search as plan
 from confab.sources import transcripts
 from confab.streaming import indexing as streaming
@@ -227,9 +229,37 @@ def b16_phrases(spark, at):  # noqa: ANN001, ANN201
     return retrieval.phrase_matches(g, index.occurrences(base(spark, at, "chunks", "text")))
 
 
-@query(f"with {CH} select id, sha256(concat_ws('|', id, text)) as sha from ch")
+@query(f"with {CH} select id, substr(sha256(to_json({{'id': id, 'file_id': file_id, 'idx': idx}})::varchar), 1, 24) as signature from ch")
 def b25_signatures(spark, at):  # noqa: ANN001, ANN201
-    return base(spark, at, "chunks", "text").select("id", F.sha2(F.concat_ws("|", "id", "text"), 256).alias("sha"))
+    return base(spark, at, "chunks", "file_id", "idx").select("id", index.signature("id", "file_id", "idx").alias("signature"))
+
+
+@query(f"with {UT}, w as (select id, unnest(words) as w from ut) select id, count(*) as n, string_agg(w.token, ' ' order by w.start_sec, w.token) as tokens, round(sum(w.end_sec - w.start_sec), 2) as spoken from w group by 1")
+def b23_word_triples(spark, at):  # noqa: ANN001, ANN201
+    """Words packed as JSON triples and read again."""
+    u = base(spark, at, "utterances", "words").withColumn("packed", nested.packed_triples(F.col("words")))
+    w = u.select("id", F.explode(nested.word_triples(F.col("packed"))).alias("w"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("w.start_sec", "w.token"))), lambda x: x["token"]), " ")
+    return w.groupBy("id").agg(F.count(F.lit(1)).alias("n"), joined.alias("tokens"), F.round(F.sum(F.col("w.end_sec") - F.col("w.start_sec")), 2).alias("spoken"))
+
+
+@query("select file_id, max(title) as title, max(topic) as topic, max(page_url) as page_url from manifest group by 1")
+def b24_metadata(spark, at):  # noqa: ANN001, ANN201
+    """Fields packed as one JSON object and taken out again."""
+    one = raw(spark, at, "manifest").groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("title", "topic", "page_url")))
+    packed = one.select("file_id", nested.packed_fields("title", "topic", "page_url").alias("meta"))
+    return packed.select("file_id", *(nested.field(F.col("meta"), c).alias(c) for c in ("title", "topic", "page_url")))
+
+
+@query("with s as (select file_id, label, max(role) as role from speakers where file_id is not null and label is not null group by 1, 2), w as (select file_id, string_agg(label, ' ' order by label) as labels from s group by 1), m as (select file_id, max(title) as title from manifest group by 1) select m.file_id, coalesce(title, m.file_id) as title, labels from m left join w using (file_id)")
+def f7_files(spark, at):  # noqa: ANN001, ANN201
+    listed = library.files(raw(spark, at, "manifest"), raw(spark, at, "speakers"))
+    return listed.select("file_id", "title", F.array_join(F.transform("speakers", lambda x: x["label"]), " ").alias("labels"))
+
+
+@query(f"with {UT} select idx, speaker, start_sec, end_sec, text from ut where file_id = 'open_channel_feed'")
+def f7_a14_transcript(spark, at):  # noqa: ANN001, ANN201
+    return library.transcript(base(spark, at, "utterances", "file_id", "idx", "speaker", "start_sec", "end_sec", "text"), "open_channel_feed")
 
 
 @query(
@@ -315,9 +345,7 @@ def d7_infer_roles(spark, at):  # noqa: ANN001, ANN201
 
 @query(f"with {CH}, {UT} select (select count(*) from ch) as chunks, (select count(*) from ut) as utterances, (select count(distinct file_id) from manifest) as files, (select round(sum(e) / 3600, 2) from (select max(excerpt.end_sec) as e from manifest group by file_id)) as hours")
 def d8_index_statistics(spark, at):  # noqa: ANN001, ANN201
-    count = lambda n: base(spark, at, n, *KEYS[n]).agg(F.count(F.lit(1)).alias(n))
-    files = raw(spark, at, "manifest").groupBy("file_id").agg(F.max("excerpt.end_sec").alias("e")).agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("e") / 3600, 2).alias("hours"))
-    return count("chunks").crossJoin(count("utterances")).crossJoin(files)  # one row each
+    return library.statistics(base(spark, at, "chunks", "id"), base(spark, at, "utterances", "id"), raw(spark, at, "manifest"))
 
 
 @query(
@@ -670,6 +698,15 @@ def d4_corpus_stats(spark, at):  # noqa: ANN001, ANN201
     return lexical_tables(spark, at)[3]
 
 
+@query(f"with {CH}, {POSTED}, {STATS} select count(*) as n_docs, sum(doc_len)::bigint as sum_doc_len from lengths where chunk_id not in (select id from ch where file_id = 'open_channel_feed')")
+def h4_corpus_after_deletion(spark, at):  # noqa: ANN001, ANN201
+    """Corpus statistics after one recording's passages are taken off."""
+    chunks = base(spark, at, "chunks", "file_id", "text")
+    lengths = index.doc_lengths(chunks, index.postings(chunks))
+    gone = chunks.where("file_id = 'open_channel_feed'").select(F.col("id").alias("chunk_id"))
+    return index.merge_corpus(index.corpus_stats(lengths), index.corpus_delta(lengths.join(gone, "chunk_id", "left_semi"), -1))
+
+
 @query(f"with {CH}, {POSTED}, {STATS}, kept as (select lexeme, df + case when lexeme like 'a%' then 1 else 0 end as df from stats) select lexeme, kept.df as kept, stats.df as computed from kept full join stats using (lexeme) where kept.df is distinct from stats.df")
 def h7_c8_drift(spark, at):  # noqa: ANN001, ANN201
     """Drift of counts in which terms with a were counted once too often."""

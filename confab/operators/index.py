@@ -77,6 +77,19 @@ def merge_counts(stored: DataFrame, *deltas: DataFrame, key: str = "lexeme", val
     return out.groupBy(key).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
 
 
+def corpus_delta(lengths: DataFrame, sign: int) -> DataFrame:
+    """The change of n_docs and sum_doc_len that adding (1) or deleting (-1) these passages makes."""
+    return corpus_stats(lengths).select((sign * F.col("n_docs")).alias("n_docs"), (sign * F.col("sum_doc_len")).alias("sum_doc_len"))
+
+
+def merge_corpus(stored: DataFrame, *deltas: DataFrame) -> DataFrame:
+    """n_docs and sum_doc_len after deltas, one row."""
+    out = stored.select("n_docs", "sum_doc_len")
+    for d in deltas:
+        out = out.unionByName(d.select("n_docs", "sum_doc_len"))
+    return out.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_doc_len").alias("sum_doc_len"))
+
+
 def drift(kept: DataFrame, computed: DataFrame, key: str = "lexeme", value: str = "df") -> DataFrame:
     """Keys whose kept and recomputed values differ, missing ones included."""
     a, b = kept.select(key, F.col(value).alias("kept")), computed.select(key, F.col(value).alias("computed"))

@@ -25,6 +25,8 @@ CATEGORIES = ("keyword", "phrase", "paraphrase", "question", "cross_file", "miss
 SPLITS = ("dev", "test")
 REFERENCE = r"^([a-z_0-9]+):([0-9]+)(?:-([0-9]+))?(?:@([12]))?$"
 QUOTE = 240
+#: A report of more rows is refused, not cut.
+REPORT_ROWS = 10_000
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -135,9 +137,23 @@ def resolve_references(references: DataFrame, utterances: DataFrame, column: str
     return found.where("n = b - a + 1").select("query_id", F.col("file_id").alias("file"), "start_sec", "end_sec", "grade", short.alias("quote"))
 
 
+#: The first bytes of audio files.
+MAGIC = {"RIFF": "wav", "fLaC": "flac", "OggS": "ogg", "ID3": "mp3"}
+
+
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, sha256) of audio files. Decoding and recognition need tools that aren't there; they are interfaces."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, size_bytes, sha256, kind, duration_sec) of audio files: kind by the first bytes, null where they are no known
+    audio; the duration of uncompressed WAV from its header, null for others. Decoding and recognition need tools that
+    aren't there; they are interfaces."""
+    head = lambda n: F.substring(F.col("content"), 1, n)
+    kind = F.lit(None).cast("string")
+    for magic, name in MAGIC.items():
+        kind = F.when(F.hex(head(len(magic))) == magic.encode().hex().upper(), name).otherwise(kind)
+    # Bytes 29 to 32 of a WAV header: bytes a second, the lowest first.
+    rate = sum((F.conv(F.hex(F.substring(F.col("content"), 29 + k, 1)), 16, 10).cast("double") * 256**k for k in range(4)), F.lit(0.0))
+    duration = F.when((F.col("kind") == "wav") & (F.col("length") > 44), F.try_divide(F.col("length") - 44, rate))
+    read = spark.read.format("binaryFile").load(path).withColumn("kind", kind)
+    return read.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "kind", duration.alias("duration_sec"))
 
 
 class _Page(HTMLParser):
@@ -217,7 +233,9 @@ def html_turns(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
 def write_report(summary: DataFrame, folder: str, title: str) -> tuple[Path, Path]:
     """A summary of a few rows as Markdown and JSON."""
-    rows = [r.asDict(recursive=True) for r in summary.limit(10_000).collect()]
+    rows = [r.asDict(recursive=True) for r in summary.limit(REPORT_ROWS + 1).collect()]
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows; summarise first")
     to = Path(folder)
     to.mkdir(parents=True, exist_ok=True)
     md, js = to / "report.md", to / "report.json"

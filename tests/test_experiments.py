@@ -1,11 +1,12 @@
 """Comparisons and the command line on a small library."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from confab.__main__ import main
 from confab.config import SearchOptions
-from confab.plans import experiments
+from confab.plans import experiments, library
 from confab.plans.search import build_index
 from confab.session import ship
 
@@ -39,12 +40,43 @@ def test_labelers_are_compared(spark):
 
 def test_command_line(spark, small, tmp_path, capsys):
     main(["build", small, str(tmp_path / "ix")])
+    main(["build", small, str(tmp_path / "ix")])
+    assert "up to date" in capsys.readouterr().out
     main(["stats", str(tmp_path / "ix")])
     assert "passages" in capsys.readouterr().out
-    word = spark.read.parquet(str(tmp_path / "ix/stats")).where("df between 2 and 5").agg(F.min("lexeme")).first()[0]
+    main(["files", str(tmp_path / "ix")])
+    main(["transcript", str(tmp_path / "ix"), "open_channel_feed"])
+    assert len(capsys.readouterr().out.splitlines()) > 5
+    at = library.current(spark, str(tmp_path / "ix"))
+    word = spark.read.parquet(f"{at}/stats").where("df between 2 and 5").agg(F.min("lexeme")).first()[0]
     main(["search", str(tmp_path / "ix"), word, "--system", "bm25", "-k", "3"])
     assert capsys.readouterr().out.strip().startswith("1 ")
     golden = spark.read.parquet(f"{small}/golden_queries.parquet").dropDuplicates(["id"]).limit(5)
     golden.write.parquet(str(tmp_path / "golden.parquet"))
     main(["evaluate", str(tmp_path / "ix"), str(tmp_path / "golden.parquet"), str(tmp_path / "report"), "--systems", "bm25"])
     assert "| bm25 |" in (tmp_path / "report/report.md").read_text()
+    with pytest.raises(ValueError):
+        library.load(spark, str(tmp_path / "ix"), "e5")
+    main(["reset", str(tmp_path / "ix")])
+    with pytest.raises(FileNotFoundError):
+        library.load(spark, str(tmp_path / "ix"))
+
+
+def test_files_are_replaced_alone(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(x, "file_id string, n int")
+    library.replace_files(rows(("a b", 1), ("c", 2)), folder)
+    library.replace_files(rows(("c", 3), ("d", 4)), folder)
+    held = lambda: {(r.file_id, r.n) for r in spark.read.parquet(folder).collect()}
+    assert held() == {("a b", 1), ("c", 3), ("d", 4)}
+    library.delete_files(spark, folder, ["a b", "none"])
+    assert held() == {("c", 3), ("d", 4)}
+
+
+def test_query_vectors_are_stored(spark):
+    queries = spark.createDataFrame([("1", "fog horn"), ("2", " fog horn"), ("3", "rim"), ("4", None)], "query_id string, q_text string")
+    store = spark.createDataFrame([("rim", [9.0])], "text string, embedding array<float>")
+    found, fresh = library.stored_vectors(queries, store)
+    vectors = {r.query_id: r.embedding for r in found.collect()}
+    assert vectors["3"] == [9.0] and vectors["1"] == vectors["2"] and len(vectors["1"]) == 64 and vectors["4"] is None
+    assert [r.text for r in fresh.collect()] == ["fog horn"]
