@@ -53,9 +53,13 @@ def before(df: DataFrame, keys: list[str], order: list[str], last: list[str] = (
 def islands(df: DataFrame, keys: list[str], order: list[str], opens: Column, name: str = "island") -> DataFrame:
     """Numbers stretches of rows from 0. `opens` is true where a row starts a new one, null counts as true; it is of the
     first row of each sequence."""
-    flagged = df.withColumn("_opens", F.when(F.coalesce(opens, F.lit(True)), 1).otherwise(0))
-    numbered = before(flagged, keys, order, sums={"_sum": F.col("_opens")})
-    return numbered.withColumn(name, F.coalesce("_sum", F.lit(0)) + F.col("_opens") - 1).drop("_opens", "_sum", "has_last")
+    return _numbered(df.withColumn("_opens", F.when(F.coalesce(opens, F.lit(True)), 1).otherwise(0)), keys, order, name)
+
+
+def _numbered(flagged: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """The number of openings up to each row, from 0. Of rows that tie in the order, one that opens comes first."""
+    counted = before(flagged.withColumn("_rest", 1 - F.col("_opens")), keys, [*order, "_rest"], sums={"_sum": F.col("_opens")})
+    return counted.withColumn(name, F.coalesce("_sum", F.lit(0)) + F.col("_opens") - 1).drop("_opens", "_rest", "_sum", "has_last")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: float, *, inclusive: bool = True, extra: list[Column] | None = None) -> DataFrame:
@@ -64,8 +68,7 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: f
     reached = before(df, keys, order, maxima={"_reach": F.col(end)})
     distance = F.col(start) - F.col("_reach")
     opens = F.col("_reach").isNull() | (distance > gap if inclusive else distance >= gap)
-    numbered = before(reached.drop("has_last").withColumn("_opens", F.when(opens, 1).otherwise(0)), keys, order, sums={"_sum": F.col("_opens")})
-    numbered = numbered.withColumn("island", F.coalesce("_sum", F.lit(0)) + F.col("_opens") - 1)
+    numbered = _numbered(reached.withColumn("_opens", F.when(opens, 1).otherwise(0)), keys, order, "island")
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *(extra or []))
 
 

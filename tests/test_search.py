@@ -27,6 +27,8 @@ def test_parse(spark):
     q, again, plain, *bad = parsed(spark, '"firing room" role:guest file:moon_launch launch', "ROLE:Host Speaker:a speaker:b file:x file:y  go\u00a0on", 'so " " it', "", "   ", None, "role:host", "role:pilot x", "x" * 600)
     assert (q.q_phrases, q.q_role, q.q_files, q.q_text, q.q_intent, q.q_error) == (["firing room"], "guest", ["moon_launch"], "firing room launch", "phrase", None)
     assert (again.q_role, again.q_speaker, again.q_files, again.q_text) == ("host", "B", ["x", "y"], "go on") and plain.q_phrases == []
+    long = parsed(spark, "the deck lamp near a far red box behind one old tow path in fog")[0]
+    assert long.q_content == ["deck", "lamp", "near", "far", "red", "box", "behind", "one", "old", "tow", "path", "fog"]
     assert all(r.q_error and r.q_text is None and r.q_intent is None and r.q_files == [] for r in bad) and "pilot" in bad[4].q_error
 
 

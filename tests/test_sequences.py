@@ -102,6 +102,14 @@ def test_regions_and_windows(spark):
     assert cut == [(0.0, 1.5), (0.75, 2.25), (1.5, 3.0), (2.25, 3.75), (2.5, 4.0), (6.0, 7.0)]
 
 
+def test_equal_intervals_are_one_union(spark):
+    from confab.operators import islands
+
+    rows = [("f", float(10 * (k // 4)), 10.0 * (k // 4) + 1) for k in range(400)]
+    found = islands.merge_intervals(spark.createDataFrame(rows, "file string, s double, e double").repartition(7), ["file"], "s", "e", 2.0).collect()
+    assert len(found) == 100 and {r.n for r in found} == {4}
+
+
 def test_boundaries(spark):
     data = spark.createDataFrame(words(("a", 0.0, 0.2, None), ("b", 0.3, 0.5, None), ("c", 0.6, 0.8, None), ("d", 1.9, 2.0, None)), WORD)
     ends = spark.createDataFrame([("f", 1)], "file_id string, word_idx int")
