@@ -26,6 +26,8 @@ from confab.session import stage
 CELL, SAMPLE, PER_WORD = 300, 16_384, 32
 #: Books after the cells, words in each, beam, cells asked, candidates reranked.
 BOOKS, WORDS, BEAM, PROBES, RERANK = 8, 16, 3, 4, 24
+#: Candidates of a cell reranked without a floor.
+RERANK_FAR = 128
 #: Rows or queries of a cell in one block.
 BLOCK = 8192
 #: Without a floor a query asks in so many cells for each root of their number; a task holds neighbouring cells of about
@@ -153,8 +155,9 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
     blocks = np.maximum(1, np.ceil(seen / len(sample) * n / BLOCK)).astype(int)
     crowded = bool((blocks > 1).any())
     # Where many cells are asked, a vector goes once to each group of neighbouring cells.
-    groups = None
+    groups, take = None, max(RERANK, 4 * k)
     if probes is None:
+        take = max(take, RERANK_FAR)  # codes tell vectors that are all far less well apart
         probes = max(PROBES, int(np.ceil(SPREAD * len(blocks) ** 0.5)))
         if not crowded:
             centres = kmeans(books.value.first, max(1, min(len(books.value.first), n // GROUP)), np.random.default_rng(7))
@@ -217,7 +220,7 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
         parts = []
         for i in range(0, len(ask), 4096):
             rows = ask[i : i + 4096]
-            picked, cosine = b.search(x[rows], cell, codes, norms, x[held], max(RERANK, 4 * k))
+            picked, cosine = b.search(x[rows], cell, codes, norms, x[held], take)
             other = code[held][picked]
             cosine[(other == code[rows][:, None]) | (cosine < floor)] = -2
             best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
@@ -237,7 +240,7 @@ def class_neighbours(reps: DataFrame, n: int, dimension: int, k: int, floor: flo
             for part in np.array_split(rows, len(rows) // 4096 + 1):
                 if not len(part):
                     continue
-                picked, cosine = b.search(x[part], cell, codes, norms, x[own], max(RERANK, 4 * k))
+                picked, cosine = b.search(x[part], cell, codes, norms, x[own], take)
                 other = code[own][picked]
                 cosine[(other == code[part][:, None]) | (cosine < floor)] = -2
                 cosine, other = np.concatenate([best[part], cosine], axis=1), np.concatenate([whose[part], other], axis=1)
