@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from confab.operators.islands import before
+from confab.session import stage
+
 FRAME = 0.1
+#: Frames of a stretch of a recording that one group holds, and of one in which single frames look for their windows.
+STRETCH, NEAR = 6000, 64
 
 
 def two_way_clusters(vectors: np.ndarray, clusters: int = 2, prune: float = 0.3, seed: int = 0) -> np.ndarray:
@@ -88,6 +94,71 @@ def word_likelihoods(words: DataFrame, frames: DataFrame) -> DataFrame:
     return direct.unionByName(borrowed).select("file_id", "word_idx", "speaker", F.log(clipped).alias("loglik"))
 
 
+def _span(start: str, end: str) -> tuple[Column, Column]:
+    """First frame of a span of seconds and the one behind its last."""
+    first = F.floor(F.round(F.col(start) / FRAME, 9)).cast("int")
+    return first, F.greatest(first + 1, F.ceil(F.round(F.col(end) / FRAME, 9)).cast("int"))
+
+
+def _frame_sums(key: tuple, words: pa.Table, windows: pa.Table, size: int) -> pa.Table:
+    """Of one stretch of a recording: for each word (or part of one) and speaker the sum and number of its covered frames'
+    posteriors; a row without speaker where none is covered."""
+    at = key[1].as_py() * size
+    inside = lambda t, c: np.clip(t.column(c).to_numpy() - at, 0, size)
+    a, b = inside(words, "a"), inside(words, "b")
+    names = windows.column("speaker").combine_chunks().dictionary_encode() if windows.num_rows else None
+    k = len(names.dictionary) if names is not None else 0
+    n = np.zeros((words.num_rows, k), dtype=np.int64)
+    s = np.zeros((words.num_rows, k))
+    if k:
+        who, first, last, p = names.indices.to_numpy(), inside(windows, "a"), inside(windows, "b"), windows.column("p").to_numpy()
+        for c in range(k):
+            own = who == c
+            count = lambda x, w=None: np.bincount(x, weights=w, minlength=size + 1)[:size]
+            covering = np.cumsum(count(first[own]) - count(last[own]))
+            total = np.cumsum(count(first[own], p[own]) - count(last[own], p[own]))
+            mean = np.where(covering > 0, total / np.maximum(covering, 1), 0.0)
+            upto, seen = np.concatenate([[0.0], np.cumsum(mean)]), np.concatenate([[0], np.cumsum(covering > 0)])
+            s[:, c], n[:, c] = upto[b] - upto[a], seen[b] - seen[a]
+    row, c = np.nonzero(n)
+    none = np.flatnonzero(n.sum(1) == 0)
+    rows = pa.array(np.concatenate([row, none]))
+    speaker = pa.concat_arrays([names.dictionary.take(pa.array(c)).cast(pa.string()) if k else pa.array([], pa.string()), pa.nulls(len(none), pa.string())])
+    sums, counts = np.concatenate([s[row, c], np.zeros(len(none))]), np.concatenate([n[row, c], np.zeros(len(none), dtype=np.int64)])
+    held = words.select(["file_id", "word_idx", "a", "b", "whole"]).take(rows)
+    return held.append_column("speaker", speaker).append_column("s", pa.array(sums)).append_column("n", pa.array(counts))
+
+
+def window_likelihoods(words: DataFrame, windows: DataFrame) -> DataFrame:
+    """`word_likelihoods` of the frames of windows (file_id, from_sec, to_sec, speaker, p), without a row a frame.
+
+    Words and windows meet in stretches of STRETCH frames, so no group holds a recording; words that reach over an edge add
+    up. For words without a covered frame the nearest one is the last or first of a window, found among the windows' ends.
+    """
+    size, last = STRETCH, F.greatest(F.col("a"), F.col("b") - 1)
+    spread = lambda df, wide: df.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("a") / wide), F.floor(last / wide))))
+    a, b = _span("from_sec", "to_sec")
+    windows = windows.where("file_id is not null").select("file_id", F.greatest(a, F.lit(0)).alias("a"), b.alias("b"), "speaker", F.col("p").cast("double").alias("p")).where("b > 0 and p is not null")
+    a, b = _span("start_sec", "end_sec")
+    spans = spread(words.where("file_id is not null").select("file_id", "word_idx", a.alias("a"), b.alias("b")), size).withColumn("whole", F.floor(F.col("a") / size) == F.floor(last / size))
+    types = dict(spans.dtypes)
+    schema = f"file_id {types['file_id']}, word_idx {types['word_idx']}, a int, b int, whole boolean, speaker string, s double, n long"
+    parts = stage(spans.groupBy("file_id", "stretch").cogroup(spread(windows, size).groupBy("file_id", "stretch")).applyInArrow(lambda key, w, v: _frame_sums(key, w, v, size), schema))
+    cut = parts.where("not whole").groupBy("file_id", "word_idx", "a", "b", "speaker").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    direct = parts.where("whole").select("file_id", "word_idx", "speaker", "s", "n").unionByName(cut.select("file_id", "word_idx", "speaker", "s", "n")).where("n > 0").select("file_id", "word_idx", "speaker", (F.col("s") / F.col("n")).alias("p"))
+    lost = parts.where("whole and n = 0").select("file_id", "word_idx", "a", "b").unionByName(cut.groupBy("file_id", "word_idx", "a", "b").agg(F.sum("n").alias("n")).where("n = 0").drop("n"))
+    lost = lost.select("file_id", "word_idx", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("frame"), F.lit(None).cast("int").alias("at"))
+    ends = windows.select("file_id", F.lit(None).cast(types["word_idx"]).alias("word_idx"), (F.col("b") - 1).alias("frame"), (F.col("b") - 1).alias("at")).distinct()
+    left = before(lost.unionByName(ends), ["file_id"], ["frame"], maxima={"left": F.col("at")}).where("at is null").select("file_id", "word_idx", "left", (-F.col("frame")).alias("frame"), "at")
+    starts = windows.select("file_id", F.lit(None).cast(types["word_idx"]).alias("word_idx"), F.lit(None).cast("int").alias("left"), (-F.col("a")).alias("frame"), (-F.col("a")).alias("at")).distinct()
+    both = before(left.unionByName(starts), ["file_id"], ["frame"], maxima={"right": F.col("at")}).where("at is null").select("file_id", "word_idx", "left", (-F.col("right")).alias("right"), (-F.col("frame")).alias("frame"))
+    near = F.when(F.col("left").isNull() | (F.col("right") - F.col("frame") < F.col("frame") - F.col("left")), F.col("right")).otherwise(F.col("left"))
+    asks = both.select("file_id", "word_idx", near.alias("near")).where("near is not null").withColumn("stretch", F.floor(F.col("near") / NEAR))
+    borrowed = asks.join(spread(windows, NEAR), ["file_id", "stretch"]).where("near >= a and near < b").groupBy("file_id", "word_idx", "speaker").agg(F.avg("p").alias("p"))
+    clipped = F.least(F.greatest(F.col("p"), F.lit(1e-4)), F.lit(1.0))
+    return direct.unionByName(borrowed).select("file_id", "word_idx", "speaker", F.log(clipped).alias("loglik"))
+
+
 def viterbi(loglik: np.ndarray, boundary: np.ndarray, penalty: float = 4.0, discount: float = 0.15) -> np.ndarray:
     """Best path over speakers: a change costs the penalty, at a boundary the discounted one; ties go to the lower speaker."""
     n, k = loglik.shape

@@ -178,3 +178,26 @@ def test_frames_and_word_likelihoods(spark):
     spoken = spark.createDataFrame(words(("x", 0.2, 0.4, None), ("y", 2.6, 2.8, None)), WORD)
     best = {(r.word_idx, r.speaker): r.loglik for r in diarization.word_likelihoods(spoken, frames).collect()}
     assert best[(0, "A")] == 0.0 and best[(1, "B")] == 0.0 and best[(1, "A")] == pytest.approx(np.log(1e-4))
+
+
+def test_likelihoods_of_windows_need_no_frames(spark, small, monkeypatch):
+    """The same as by frames, whatever the stretches; words over their edges, without windows or in files without any."""
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.random(120) * 90)
+    rows = [(f, i, "w", round(float(t), 2), round(float(t + d), 2), None) for f in ("f", "g") for i, (t, d) in enumerate(zip(at, rng.choice([0.1, 0.3, 2.0, 9.0], 120)))]
+    spoken = spark.createDataFrame([*rows, ("none", 0, "w", 1.0, 2.0, None), ("f", 900, "w", None, None, None)], WORD)
+    starts = [(f, round(float(t), 2)) for f, n in (("f", 25), ("g", 6)) for t in rng.random(n) * 80 + 5]
+    data = [(f, t, round(t + 1.5, 2), s, p) for f, t in starts for s, p in (("A", float(rng.random())), ("B", float(rng.random())))] + [("g", 40.0, 41.0, "C", 0.7)]
+    windows = spark.createDataFrame(data, "file_id string, from_sec double, to_sec double, speaker string, p double")
+    frames = diarization.frame_posteriors(windows, windows.groupBy("file_id").agg(F.max("to_sec").alias("duration")))
+    seen = lambda df: {(r.file_id, r.word_idx, r.speaker): round(r.loglik, 6) for r in df.collect()}
+    want = seen(diarization.word_likelihoods(spoken, frames))
+    assert len(want) > 400
+    for size, near in ((6000, 64), (50, 16)):
+        monkeypatch.setattr(diarization, "STRETCH", size)
+        monkeypatch.setattr(diarization, "NEAR", near)
+        assert seen(diarization.window_likelihoods(spoken, windows)) == pytest.approx(want, abs=2e-6)
+    from confab import catalogue
+
+    # The plan by frames had about 220 exchanges, which the driver couldn't hold.
+    assert catalogue.e14_e15_word_likelihoods(spark, small)._jdf.queryExecution().executedPlan().toString().count("Exchange") < 60
