@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from confab.functions.text import content_tokens
 from confab.functions.vectors import cosine
 from confab.operators.index import ANALYZERS
 from confab.operators.islands import top_per_key
+from confab.session import stage
 
 #: Queries whose vectors are broadcast together; more scan the vectors again.
 QUERY_BLOCK = 4096
@@ -23,6 +25,8 @@ QUERY_BLOCK = 4096
 ROWS = 256
 #: Vectors a cell should hold, on average, the sample its centres are learnt on, and cells asked for each root of their number.
 CELL, CELL_SAMPLE, CELL_SPREAD = 300, 16_384, 1.5
+#: Chunks and queries of a cell of bm25_by_cells, and cells it makes where there are queries enough for them.
+CELL_CHUNKS, CELL_QUERIES, CELLS, FEW_QUERIES = 65_536, 65_536, 6, 2_048
 FILTERS = ("q_files", "q_speaker", "q_role")
 # The acceptance rules of sounds-like terms.
 LEAST_LETTERS, PER_TOKEN, OPEN, STRICT, RARE = 4, 3, 0.62, 0.80, 2
@@ -68,6 +72,85 @@ def bm25(lexemes: DataFrame, posted: DataFrame, stats: DataFrame, lengths: DataF
     return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id")], limit or settings.candidates)
 
 
+def _best_of_cell(queries: pa.Table, chunks: pa.Table, k: int, avgdl: float, settings: Settings) -> pa.Table:
+    """The k best chunks of each query among the chunks of one cell: scores (descending) and ids as arrays, a row a query."""
+    none = pa.table({"query_id": pa.array([], pa.string()), "scores": pa.array([], pa.list_(pa.float64())), "ids": pa.array([], pa.list_(pa.string()))})
+    if not queries.num_rows or not chunks.num_rows:
+        return none
+    chunks = chunks.take(pc.sort_indices(chunks.column("id").combine_chunks()))  # equal scores go by id, so by row
+    n = chunks.num_rows
+    words = pc.split_pattern(chunks.column("terms").combine_chunks(), " ")
+    length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    asked = queries.column("lexemes").combine_chunks()
+    names = asked.flatten().dictionary_encode()
+    held = words.flatten().dictionary_encode()
+    known = pc.fill_null(pc.index_in(held.dictionary, value_set=names.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    code, row = known[held.indices.to_numpy()], np.repeat(np.arange(n), length)
+    key, tf = np.unique((code * n + row)[code >= 0], return_counts=True)
+    code, row = key // n, key % n
+    k1, b = settings.k1, settings.b
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
+    terms = len(names.dictionary)
+    start = np.searchsorted(code, np.arange(terms + 1))
+    most = np.zeros(terms)
+    np.maximum.at(most, code, part)
+    lexeme, gain = names.indices.to_numpy(), queries.column("gains").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))])
+    which, scores, rows = [], [], []
+    for i in range(queries.num_rows):
+        mine = [(g, t, start[t], start[t + 1]) for g, t in zip(gain[upto[i] : upto[i + 1]].tolist(), lexeme[upto[i] : upto[i + 1]].tolist()) if start[t + 1] > start[t]]
+        if not mine:
+            continue
+        total = np.bincount(np.concatenate([row[x:y] for _, _, x, y in mine]), weights=np.concatenate([g * part[x:y] for g, _, x, y in mine]), minlength=n)
+        # The k-th best of the chunks with the most telling term is a bar that no chunk of the list lies under.
+        telling = max((x for x in mine if x[3] - x[2] >= k), key=lambda x: x[0] * most[x[1]], default=None)
+        bar = 0.0
+        if telling:
+            there = total[row[telling[2] : telling[3]]]
+            bar = np.partition(there, len(there) - k)[len(there) - k] - 2e-6  # as scores are rounded
+        near = np.flatnonzero(total >= bar if bar > 0 else total > 0)
+        if len(near) > 4 * k:  # chunks that can't be among the k best, ties of rounded scores aside
+            there = total[near]
+            near = near[there >= np.partition(there, len(there) - k)[len(there) - k] - 2e-6]
+        score = np.round(total[near], 6)
+        order = np.lexsort((near, -score))[:k]
+        which.append(i)
+        scores.append(score[order])
+        rows.append(near[order])
+    if not which:
+        return none
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32))
+    ids = chunks.column("id").combine_chunks().take(pa.array(np.concatenate(rows)))
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    return pa.table({"query_id": queries.column("query_id").combine_chunks().take(pa.array(which)), "scores": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(scores))), "ids": pa.ListArray.from_arrays(offsets, ids)})
+
+
+def bm25_by_cells(lexemes: DataFrame, chunks: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, id, score, rank): as `bm25` without filters, for query sets that meet most of the collection.
+
+    There the rows that meet are the product of queries and chunks, too many to shuffle. So blocks of chunks meet blocks of
+    queries in cells; each scores all its pairs in memory and passes on k chunks a query. chunks: id, terms (content lexemes
+    in any order).
+    """
+    corpus = chunks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("id").isNotNull(), F.size("terms")))).first()  # one row
+    n, avgdl = corpus[0], (corpus[1] or 0) / max(corpus[0], 1)
+    df = chunks.select(F.explode(F.array_distinct("terms")).alias("lexeme")).groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    wanted = lexemes.where("query_id is not null").groupBy("query_id", "lexeme").agg(F.sum("weight").alias("weight"))
+    gains = wanted.join(df, "lexeme").select("query_id", F.struct("lexeme", (F.col("weight") * idf(F.lit(float(n)), F.col("df"))).alias("gain")).alias("g"))
+    asked = stage(gains.groupBy("query_id").agg(F.sort_array(F.collect_list("g")).alias("g")).select("query_id", F.col("g.lexeme").alias("lexemes"), F.col("g.gain").alias("gains")))
+    wide, many = max(1, -(-n // CELL_CHUNKS)), asked.count()
+    high = max(1, -(-many // CELL_QUERIES), min(CELLS // wide, many // FEW_QUERIES))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.withColumn("down", block("query_id", high)).withColumn("across", every(wide))
+    right = chunks.where("id is not null and size(terms) > 0").select("id", F.array_join("terms", " ").alias("terms"), block("id", wide).alias("across")).withColumn("down", every(high))
+    meet = lambda q, c: _best_of_cell(q, c, k, avgdl, settings)
+    found = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInArrow(meet, "query_id string, scores array<double>, ids array<string>")
+    pairs = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("less"), i.alias("id")))
+    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", "x.id", (-F.col("x.less")).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
 def filter_clause(files: list[str] | None = None, speaker: str | None = None, langs: list[str] | None = None) -> Column:
     """Conjunction of the filters that are given; true without any. Values are literals, never SQL text."""
     parts = [F.col("file_id").isin(*files)] if files else []

@@ -161,6 +161,38 @@ def test_cells_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact) and len(near) == len(exact)
 
 
+def test_cells_of_queries_and_chunks_are_the_ranking(spark, small, monkeypatch):
+    """Cells give what bm25 gives, however they are cut; ties go by id."""
+    rnd = random.Random(3)
+    pool = [f"term{i}" for i in range(30)]
+    texts = [(f"c{i:03d}", " ".join(rnd.choices(pool, weights=range(30, 0, -1), k=rnd.randint(0, 12)))) for i in range(300)] + [("none", None)]
+    chunks = spark.createDataFrame([*texts, *((f"t{i}", "tied words") for i in range(40))], "id string, text string")
+    asked = [(f"q{i}", " ".join(rnd.choices([*pool, "missing"], k=rnd.randint(1, 5)))) for i in range(60)] + [("tie", "tied tied"), ("few", "term29 unheard"), ("no", "unheard")]
+    lexemes = retrieval.query_lexemes(spark.createDataFrame(asked, "query_id string, q_text string"))
+    posted = index.postings(chunks)
+    lengths = index.doc_lengths(chunks, posted)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    want = rows(retrieval.bm25(lexemes, posted, index.term_stats(posted), lengths, index.corpus_stats(lengths), limit=10))
+    terms = chunks.select("id", F.coalesce(retrieval.content_tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    for wide, high in ((65_536, 65_536), (50, 20)):
+        monkeypatch.setattr(retrieval, "CELL_CHUNKS", wide)
+        monkeypatch.setattr(retrieval, "CELL_QUERIES", high)
+        assert rows(retrieval.bm25_by_cells(lexemes, terms, 10)) == want
+    assert rows(retrieval.bm25_by_cells(lexemes.limit(0), terms, 10)) == rows(retrieval.bm25_by_cells(lexemes, terms.limit(0), 10)) == []
+
+
+def test_credit_as_columns(spark):
+    """The same credits as rank by rank, without a group of pandas rows a query."""
+    rnd = random.Random(4)
+    hits = {(f"q{q}", rnd.randint(1, 10), rnd.randint(0, 4)) for q in range(40) for _ in range(12)}
+    grade = {(q, label): rnd.randint(0, 3) for q, _, label in hits}
+    df = spark.createDataFrame([(q, r, label, grade[q, label]) for q, r, label in hits], "query_id string, rank int, label int, grade int")
+    got = evaluation.credited(df)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(q, r, label, grade[q, label]) for q in {h[0] for h in hits} for r, label in evaluation.credit([(r, label, grade[q, label]) for p, r, label in hits if p == q]).items()}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([("q", 0, "f", 10.0, 20.0, 2), ("q", 1, "f", 100.0, 110.0, 1), ("q", 2, "g", 0.0, 5.0, 2)], "query_id string, label int, file string, start_sec double, end_sec double, grade int")
     got = spark.createDataFrame([("q", 1, "f", 500.0, 510.0), ("q", 2, "f", 12.0, 18.0), ("q", 3, "g", 1.0, 3.0), ("q", 4, "g", 2.0, 3.0)], "query_id string, rank int, file string, start_sec double, end_sec double")
