@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -27,6 +28,8 @@ ROWS = 256
 CELL, CELL_SAMPLE, CELL_SPREAD = 300, 16_384, 1.5
 #: Chunks and queries of a cell of bm25_by_cells, and cells it makes where there are queries enough for them.
 CELL_CHUNKS, CELL_QUERIES, CELLS, FEW_QUERIES = 65_536, 65_536, 6, 2_048
+#: Chunks that pairs are held against in the first round of standing, and how many times more in each next one.
+FIRST_CHUNKS, NEXT_CHUNKS = 20_480, 16
 FILTERS = ("q_files", "q_speaker", "q_role")
 # The acceptance rules of sounds-like terms.
 LEAST_LETTERS, PER_TOKEN, OPEN, STRICT, RARE = 4, 3, 0.62, 0.80, 2
@@ -72,12 +75,15 @@ def bm25(lexemes: DataFrame, posted: DataFrame, stats: DataFrame, lengths: DataF
     return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("id")], limit or settings.candidates)
 
 
-def _best_of_cell(queries: pa.Table, chunks: pa.Table, k: int, avgdl: float, settings: Settings) -> pa.Table:
-    """The k best chunks of each query among the chunks of one cell: scores (descending) and ids as arrays, a row a query."""
-    none = pa.table({"query_id": pa.array([], pa.string()), "scores": pa.array([], pa.list_(pa.float64())), "ids": pa.array([], pa.list_(pa.string()))})
-    if not queries.num_rows or not chunks.num_rows:
-        return none
-    chunks = chunks.take(pc.sort_indices(chunks.column("id").combine_chunks()))  # equal scores go by id, so by row
+def _saturated(tf: np.ndarray, length: np.ndarray, avgdl: float, settings: Settings) -> np.ndarray:
+    """What an occurrence count tells in a chunk of a length, gains aside."""
+    k1, b = settings.k1, settings.b
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
+
+
+def _totals(queries: pa.Table, chunks: pa.Table, avgdl: float, settings: Settings):  # noqa: ANN202
+    """A generator of (i, mine, total, row, part) for each query i that meets a chunk of the cell: its lists of postings as
+    (gain, term, start, end), the scores of all chunks, and the postings. chunks: terms joined by blanks, in order of their ids."""
     n = chunks.num_rows
     words = pc.split_pattern(chunks.column("terms").combine_chunks(), " ")
     length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
@@ -88,20 +94,33 @@ def _best_of_cell(queries: pa.Table, chunks: pa.Table, k: int, avgdl: float, set
     code, row = known[held.indices.to_numpy()], np.repeat(np.arange(n), length)
     key, tf = np.unique((code * n + row)[code >= 0], return_counts=True)
     code, row = key // n, key % n
-    k1, b = settings.k1, settings.b
-    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
-    terms = len(names.dictionary)
-    start = np.searchsorted(code, np.arange(terms + 1))
-    most = np.zeros(terms)
-    np.maximum.at(most, code, part)
+    part = _saturated(tf, length[row], avgdl, settings)
+    start = np.searchsorted(code, np.arange(len(names.dictionary) + 1))
     lexeme, gain = names.indices.to_numpy(), queries.column("gains").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))])
-    which, scores, rows = [], [], []
     for i in range(queries.num_rows):
         mine = [(g, t, start[t], start[t + 1]) for g, t in zip(gain[upto[i] : upto[i + 1]].tolist(), lexeme[upto[i] : upto[i + 1]].tolist()) if start[t + 1] > start[t]]
-        if not mine:
-            continue
-        total = np.bincount(np.concatenate([row[x:y] for _, _, x, y in mine]), weights=np.concatenate([g * part[x:y] for g, _, x, y in mine]), minlength=n)
+        if mine:
+            total = np.bincount(np.concatenate([row[x:y] for _, _, x, y in mine]), weights=np.concatenate([g * part[x:y] for g, _, x, y in mine]), minlength=n)
+            yield i, mine, total, row, part
+
+
+def _by_id(chunks: pa.Table) -> pa.Table:
+    return chunks.take(pc.sort_indices(chunks.column("id").combine_chunks()))  # equal scores go by id, so by row
+
+
+def _best_of_cell(queries: pa.Table, chunks: pa.Table, k: int, avgdl: float, settings: Settings) -> pa.Table:
+    """The k best chunks of each query among the chunks of one cell: scores (descending) and ids as arrays, a row a query."""
+    none = pa.table({"query_id": pa.array([], pa.string()), "scores": pa.array([], pa.list_(pa.float64())), "ids": pa.array([], pa.list_(pa.string()))})
+    if not queries.num_rows or not chunks.num_rows:
+        return none
+    chunks = _by_id(chunks)
+    most: dict[int, float] = {}
+    which, scores, rows = [], [], []
+    for i, mine, total, row, part in _totals(queries, chunks, avgdl, settings):
+        for _, t, x, y in mine:
+            if t not in most:
+                most[t] = part[x:y].max()
         # The k-th best of the chunks with the most telling term is a bar that no chunk of the list lies under.
         telling = max((x for x in mine if x[3] - x[2] >= k), key=lambda x: x[0] * most[x[1]], default=None)
         bar = 0.0
@@ -125,32 +144,120 @@ def _best_of_cell(queries: pa.Table, chunks: pa.Table, k: int, avgdl: float, set
     return pa.table({"query_id": queries.column("query_id").combine_chunks().take(pa.array(which)), "scores": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(scores))), "ids": pa.ListArray.from_arrays(offsets, ids)})
 
 
-def bm25_by_cells(lexemes: DataFrame, chunks: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, id, score, rank): as `bm25` without filters, for query sets that meet most of the collection.
-
-    There the rows that meet are the product of queries and chunks, too many to shuffle. So blocks of chunks meet blocks of
-    queries in cells; each scores all its pairs in memory and passes on k chunks a query. chunks: id, terms (content lexemes
-    in any order).
-    """
+def asked_terms(lexemes: DataFrame, chunks: DataFrame) -> tuple[DataFrame, int, float]:
+    """(query_id, lexemes, gains) as arrays, a row a query that asks for anything the collection has; the number of chunks,
+    and their average length. chunks: id, terms (content lexemes in any order)."""
     corpus = chunks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("id").isNotNull(), F.size("terms")))).first()  # one row
     n, avgdl = corpus[0], (corpus[1] or 0) / max(corpus[0], 1)
     df = chunks.select(F.explode(F.array_distinct("terms")).alias("lexeme")).groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
     wanted = lexemes.where("query_id is not null").groupBy("query_id", "lexeme").agg(F.sum("weight").alias("weight"))
     gains = wanted.join(df, "lexeme").select("query_id", F.struct("lexeme", (F.col("weight") * idf(F.lit(float(n)), F.col("df"))).alias("gain")).alias("g"))
-    asked = stage(gains.groupBy("query_id").agg(F.sort_array(F.collect_list("g")).alias("g")).select("query_id", F.col("g.lexeme").alias("lexemes"), F.col("g.gain").alias("gains")))
-    wide, many = max(1, -(-n // CELL_CHUNKS)), asked.count()
+    return stage(gains.groupBy("query_id").agg(F.sort_array(F.collect_list("g")).alias("g")).select("query_id", F.col("g.lexeme").alias("lexemes"), F.col("g.gain").alias("gains"))), n, avgdl
+
+
+def _cells(asked: DataFrame, chunks: DataFrame, n: float):  # noqa: ANN202
+    """Blocks of queries and blocks of about n chunks, grouped so that they meet in cells; and the number of blocks of chunks."""
+    wide, many = max(1, int(-(-n // CELL_CHUNKS))), asked.count()
     high = max(1, -(-many // CELL_QUERIES), min(CELLS // wide, many // FEW_QUERIES))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = asked.withColumn("down", block("query_id", high)).withColumn("across", every(wide))
     right = chunks.where("id is not null and size(terms) > 0").select("id", F.array_join("terms", " ").alias("terms"), block("id", wide).alias("across")).withColumn("down", every(high))
+    return left.groupBy("down", "across").cogroup(right.groupBy("down", "across")), wide
+
+
+def bm25_by_cells(lexemes: DataFrame, chunks: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, id, score, rank): as `bm25` without filters, for query sets that meet most of the collection.
+
+    There the rows that meet are the product of queries and chunks, too many to shuffle. So blocks of chunks meet blocks of
+    queries in cells; each scores all its pairs in memory and passes on k chunks a query. chunks: id, terms (content lexemes
+    in any order).
+    """
+    asked, n, avgdl = asked_terms(lexemes, chunks)
     meet = lambda q, c: _best_of_cell(q, c, k, avgdl, settings)
-    found = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInArrow(meet, "query_id string, scores array<double>, ids array<string>")
+    found = _cells(asked, chunks, n)[0].applyInArrow(meet, "query_id string, scores array<double>, ids array<string>")
     pairs = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("less"), i.alias("id")))
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", "x.id", (-F.col("x.less")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
+def score_pairs(pairs: DataFrame, avgdl: float, settings: Settings = Settings()) -> DataFrame:
+    """Scores of given pairs of a query (lexemes, gains) and a chunk (terms): score takes the place of these columns. Pairs
+    without a lexeme in common are left out."""
+    rest = [c for c in pairs.columns if c not in ("lexemes", "gains", "terms")]
+
+    def scored(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            terms, lexemes = batch.column("terms"), batch.column("lexemes")
+            names, held = lexemes.flatten().dictionary_encode(), terms.flatten().dictionary_encode()
+            known = pc.fill_null(pc.index_in(held.dictionary, value_set=names.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            length, asks = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (terms, lexemes))
+            code, row, wide = known[held.indices.to_numpy()], np.repeat(np.arange(batch.num_rows), length), max(1, len(names.dictionary))
+            key, tf = np.unique((row * wide + code)[code >= 0], return_counts=True)
+            row = np.repeat(np.arange(batch.num_rows), asks)
+            wanted = row * wide + names.indices.to_numpy()
+            at = np.searchsorted(key, wanted)
+            there = at < len(key)
+            there[there] = key[at[there]] == wanted[there]
+            row, tf, gain = row[there], tf[at[there]], batch.column("gains").flatten().to_numpy(zero_copy_only=False)[there]
+            score = np.round(np.bincount(row, weights=gain * _saturated(tf, length[row], avgdl, settings), minlength=batch.num_rows), 6)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, "score"])
+            yield out.filter(pa.array(np.bincount(row, minlength=batch.num_rows) > 0))
+
+    return pairs.select(*rest, "lexemes", "gains", "terms").mapInArrow(scored, ", ".join([*(f"`{c}` {t}" for c, t in pairs.select(*rest).dtypes), "score double"]))
+
+
+STANDING = "query_id string, id string, score double, ahead int, more int"
+
+
+def _ahead_in_cell(queries: pa.Table, chunks: pa.Table, k: int, avgdl: float, settings: Settings) -> pa.Table:
+    """Of the queries' pairs (ids, scores, ahead) those that fewer than k chunks of the cell come before, with their number."""
+    flat = lambda c: queries.column(c).combine_chunks().flatten()
+    sizes = pc.list_value_length(queries.column("ids").combine_chunks()).to_numpy(zero_copy_only=False) if queries.num_rows else np.zeros(0, dtype=int)
+    upto = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    ids, scores, ahead = flat("ids"), flat("scores").to_numpy(zero_copy_only=False), flat("ahead")
+    more = np.zeros(len(scores), dtype=np.int32)
+    if queries.num_rows and chunks.num_rows:
+        chunks = _by_id(chunks)
+        names, above = chunks.column("id").to_pylist(), np.nextafter(0.0, 1.0)
+        for i, _, total, _, _ in _totals(queries, chunks, avgdl, settings):
+            own = range(upto[i], upto[i + 1])
+            near = np.flatnonzero(total >= max(min(scores[x] for x in own) - 2e-6, above))
+            there = np.round(total[near], 6)
+            for x in own:
+                tied = near[there == scores[x]]
+                more[x] = np.count_nonzero(there > scores[x]) + (np.count_nonzero(tied < bisect_left(names, ids[x].as_py())) if len(tied) else 0)
+    stand = pa.array(more < k)
+    which = pa.array(np.repeat(np.arange(queries.num_rows), sizes), pa.int64())
+    out = pa.table({"query_id": queries.column("query_id").combine_chunks().take(which), "id": ids, "score": pa.array(scores, pa.float64()), "ahead": ahead, "more": pa.array(more, pa.int32())})
+    return out.filter(stand)
+
+
+def standing(pairs: DataFrame, asked: DataFrame, chunks: DataFrame, k: int, n: int, avgdl: float, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, id, score, rank): of scored pairs (query_id, id, score) those that are among the k best of their query in the
+    ranking of all chunks, as `bm25` has it.
+
+    Only the pairs and the number of chunks before each are passed on, no ranking. A pair that k chunks come before is out
+    whatever follows, so chunks come in rounds, few in the first, and each round meets only the pairs that stand; these
+    meet every chunk once. asked, n, avgdl: of `asked_terms`; chunks: id, terms.
+    """
+    edges, upto = [0.0], FIRST_CHUNKS / max(n, 1)
+    while upto < 0.5:
+        edges.append(upto)
+        upto *= NEXT_CHUNKS
+    edges.append(1.0)
+    share = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(1 << 30)) / (1 << 30)
+    left = pairs.select("query_id", "id", "score").distinct().withColumn("ahead", F.lit(0))
+    meet = lambda q, c: _ahead_in_cell(q, c, k, avgdl, settings)
+    for low, high in zip(edges, edges[1:]):
+        lists = left.groupBy("query_id").agg(F.collect_list(F.struct("id", "score", "ahead")).alias("p"))
+        queries = stage(asked.join(lists, "query_id").select("query_id", "lexemes", "gains", F.col("p.id").alias("ids"), F.col("p.score").alias("scores"), F.col("p.ahead").alias("ahead")))
+        cells, wide = _cells(queries, chunks.where((share >= low) & (share < high)), n * (high - low))
+        counted = cells.applyInArrow(meet, STANDING).groupBy("query_id", "id", "score", "ahead").agg(F.count(F.lit(1)).alias("cells"), F.sum("more").alias("more"))
+        left = counted.where((F.col("cells") == wide) & (F.col("ahead") + F.col("more") < k)).select("query_id", "id", "score", (F.col("ahead") + F.col("more")).cast("int").alias("ahead"))
+    return left.select("query_id", "id", "score", (F.col("ahead") + 1).alias("rank"))
+
+
 def filter_clause(files: list[str] | None = None, speaker: str | None = None, langs: list[str] | None = None) -> Column:
     """Conjunction of the filters that are given; true without any. Values are literals, never SQL text."""
     parts = [F.col("file_id").isin(*files)] if files else []

@@ -188,6 +188,47 @@ def test_judged_queries_shuffle_no_postings(spark, small, name):
     assert "lexeme" not in plan_of and "chunk_id" not in plan_of
 
 
+@pytest.mark.parametrize("first", [20_480, 20])
+def test_standing_pairs_are_those_of_the_ranking(spark, monkeypatch, first):
+    """Given pairs get the scores and ranks that the whole ranking gives them, in one round or several; ties go by id."""
+    rnd = random.Random(5)
+    pool = [f"term{i}" for i in range(30)]
+    texts = [(f"c{i:03d}", " ".join(rnd.choices(pool, weights=range(30, 0, -1), k=rnd.randint(0, 12)))) for i in range(300)] + [("none", None), (None, "tied term1")]
+    chunks = spark.createDataFrame([*texts, *((f"t{i:02d}", "tied words") for i in range(40))], "id string, text string")
+    asked = [(f"q{i}", " ".join(rnd.choices([*pool, "missing"], k=rnd.randint(1, 5)))) for i in range(60)] + [("tie", "tied tied"), ("few", "term29 unheard"), ("no", "unheard")]
+    lexemes = retrieval.query_lexemes(spark.createDataFrame(asked, "query_id string, q_text string"))
+    terms = chunks.select("id", F.coalesce(retrieval.content_tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    posted = index.postings(chunks)
+    lengths = index.doc_lengths(chunks, posted)
+    whole = retrieval.bm25(lexemes, posted, index.term_stats(posted), lengths, index.corpus_stats(lengths), limit=10).collect()
+    named = {(q, i) for q, _ in asked for i, _ in rnd.sample(texts[:300], 40)} | {("tie", f"t{i:02d}") for i in range(0, 40, 3)} | {(r.query_id, r.id) for r in whole if rnd.random() < 0.3}
+    want = sorted((r.query_id, r.id, r.score, r["rank"]) for r in whole if (r.query_id, r.id) in named)
+    for name, value in (("FIRST_CHUNKS", first), ("NEXT_CHUNKS", 4), *((("CELL_CHUNKS", 50), ("CELL_QUERIES", 20)) if first == 20 else ())):
+        monkeypatch.setattr(retrieval, name, value)
+    asks, n, avgdl = retrieval.asked_terms(lexemes, terms)
+    pairs = retrieval.score_pairs(spark.createDataFrame(sorted(named), "query_id string, id string").join(asks, "query_id").join(terms, "id"), avgdl)
+    got = sorted((r.query_id, r.id, r.score, r["rank"]) for r in retrieval.standing(pairs, asks, terms, 10, n, avgdl).collect())
+    assert len(want) > 50 and got == want
+    assert retrieval.standing(pairs.limit(0), asks, terms, 10, n, avgdl).count() == 0
+
+
+def test_spans_without_end_touch_moments(spark):
+    """A span is spread no further than moments reach; before, one of 1e15 seconds could not be spread."""
+    spans = spark.createDataFrame([("a", "f", 10.0, 1e15), ("b", "f", -1e15, 20.0), ("c", "f", 500.0, 501.0), ("d", "g", 0.0, 1e15), ("e", "f", 90.0, None)], "id string, file string, start_sec double, end_sec double")
+    gold = spark.createDataFrame([("q", 0, "f", 90.0, 130.0), ("q", 1, "f", 0.0, 5.0)], "query_id string, label int, file string, start_sec double, end_sec double")
+    assert sorted(tuple(r) for r in evaluation.touching(spans, gold, ["file"]).select("r.id", "g.label").collect()) == [("a", 0), ("a", 1), ("b", 1)]
+
+
+@pytest.mark.parametrize("name", ["d15_bootstrap"])
+def test_judged_queries_pass_on_no_ranking(spark, small, monkeypatch, name):
+    """Before, ten chunks of every query went from cell to cell by name; at size that was most of the disk."""
+    def ranking(*_):  # noqa: ANN002, ANN202
+        raise AssertionError("a ranking of all chunks")
+
+    monkeypatch.setattr(retrieval, "bm25_by_cells", ranking)
+    assert catalogue.QUERIES[name](spark, small).count() > 0
+
+
 def test_credit_as_columns(spark):
     """The same credits as rank by rank, without a group of pandas rows a query."""
     rnd = random.Random(4)
