@@ -247,10 +247,10 @@ def standing(pairs: DataFrame, asked: DataFrame, chunks: DataFrame, k: int, n: i
         upto *= NEXT_CHUNKS
     edges.append(1.0)
     share = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(1 << 30)) / (1 << 30)
-    left = pairs.select("query_id", "id", "score").distinct().withColumn("ahead", F.lit(0))
+    left = pairs.select("query_id", "id", "score", F.lit(0).alias("ahead"))
     meet = lambda q, c: _ahead_in_cell(q, c, k, avgdl, settings)
     for low, high in zip(edges, edges[1:]):
-        lists = left.groupBy("query_id").agg(F.collect_list(F.struct("id", "score", "ahead")).alias("p"))
+        lists = left.groupBy("query_id").agg(F.collect_set(F.struct("id", "score", "ahead")).alias("p"))
         queries = stage(asked.join(lists, "query_id").select("query_id", "lexemes", "gains", F.col("p.id").alias("ids"), F.col("p.score").alias("scores"), F.col("p.ahead").alias("ahead")))
         cells, wide = _cells(queries, chunks.where((share >= low) & (share < high)), n * (high - low))
         counted = cells.applyInArrow(meet, STANDING).groupBy("query_id", "id", "score", "ahead").agg(F.count(F.lit(1)).alias("cells"), F.sum("more").alias("more"))

@@ -3,6 +3,8 @@
 import json
 import math
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +231,19 @@ def test_judged_queries_pass_on_no_ranking(spark, small, monkeypatch, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 
 
+@pytest.mark.parametrize("name", ["i_b27_interval_hits"])
+def test_judged_queries_leave_no_shuffle_files(spark, small, name):
+    """What a step shuffled goes when its result is staged; before, all of it lay on disk until the driver collected garbage."""
+    folders = [Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f: f.stat().st_size for folder in folders for f in folder.rglob("shuffle_*.data")}
+    before, ends = set(shuffled()), time.time() + 10
+    catalogue.QUERIES[name](spark, small)
+    left = lambda: sum(size for f, size in shuffled().items() if f not in before)
+    while left() > 2_000 and time.time() < ends:  # executors delete them a moment later
+        time.sleep(0.2)
+    assert left() <= 2_000  # those of single counts
+
+
 def test_credit_as_columns(spark):
     """The same credits as rank by rank, without a group of pandas rows a query."""
     rnd = random.Random(4)
