@@ -183,12 +183,13 @@ def bm25_by_cells(lexemes: DataFrame, chunks: DataFrame, k: int, settings: Setti
 
 def score_pairs(pairs: DataFrame, avgdl: float, settings: Settings = Settings()) -> DataFrame:
     """Scores of given pairs of a query (lexemes, gains) and a chunk (terms): score takes the place of these columns. Pairs
-    without a lexeme in common are left out."""
+    without a lexeme in common are left out. lexemes and terms: arrays, or joined by blanks."""
+    parts = lambda x: pc.split_pattern(x, " ") if pa.types.is_string(x.type) or pa.types.is_large_string(x.type) else x
     rest = [c for c in pairs.columns if c not in ("lexemes", "gains", "terms")]
 
     def scored(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            terms, lexemes = batch.column("terms"), batch.column("lexemes")
+            terms, lexemes = parts(batch.column("terms")), parts(batch.column("lexemes"))
             names, held = lexemes.flatten().dictionary_encode(), terms.flatten().dictionary_encode()
             known = pc.fill_null(pc.index_in(held.dictionary, value_set=names.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             length, asks = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (terms, lexemes))
