@@ -231,7 +231,7 @@ def test_judged_queries_pass_on_no_ranking(spark, small, monkeypatch, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 
 
-@pytest.mark.parametrize("name", ["i_b27_interval_hits", "d13_summary_by_category"])
+@pytest.mark.parametrize("name", ["i_b27_interval_hits", "d13_summary_by_category", "i2_mrr_and_success"])
 def test_judged_queries_leave_no_shuffle_files(spark, small, name):
     """What a step shuffled goes when its result is staged; before, all of it lay on disk until the driver collected garbage."""
     folders = [Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
