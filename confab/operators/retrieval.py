@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from confab.config import Settings
 from confab.functions.clusters import kmeans
@@ -30,6 +32,8 @@ CELL, CELL_SAMPLE, CELL_SPREAD = 300, 16_384, 1.5
 CELL_CHUNKS, CELL_QUERIES, CELLS, FEW_QUERIES = 65_536, 65_536, 6, 2_048
 #: Chunks that pairs are held against in the first round of standing, and how many times more in each next one.
 FIRST_CHUNKS, NEXT_CHUNKS = 20_480, 16
+#: Spans of a block of best_touching on average; a place with more of them, or of moments, than CROWDED is divided.
+BLOCK_SPANS, CROWDED = 4_096, 16_384
 FILTERS = ("q_files", "q_speaker", "q_role")
 # The acceptance rules of sounds-like terms.
 LEAST_LETTERS, PER_TOKEN, OPEN, STRICT, RARE = 4, 3, 0.62, 0.80, 2
@@ -208,6 +212,89 @@ def score_pairs(pairs: DataFrame, avgdl: float, settings: Settings = Settings())
     return pairs.select(*rest, "lexemes", "gains", "terms").mapInArrow(scored, ", ".join([*(f"`{c}` {t}" for c, t in pairs.select(*rest).dtypes), "score double"]))
 
 
+def _best_in_block(spans: pa.Table, moments: pa.Table, none: pa.Table, k: int, avgdl: float, tolerance: float, settings: Settings) -> pa.Table:
+    """The spans of a block that touch its moments, scored, without those that k chunks of the block come before. none: no
+    rows of the result."""
+    if not spans.num_rows or not moments.num_rows:
+        return none
+    spans = _by_id(spans)
+    numbers = lambda t, c: t.column(c).to_numpy()
+    reals = lambda t, c: np.nan_to_num(numbers(t, c), nan=np.inf, posinf=np.inf, neginf=-np.inf)  # noqa: E731  # nan is the greatest
+    # Places are a file, a stretch and a part; the spans of a place are neighbours in `order`.
+    files = spans.column("file").combine_chunks().dictionary_encode()
+    there, low, many = numbers(spans, "stretch"), numbers(spans, "stretch").min(), numbers(spans, "part").max() + 1
+    wide = there.max() - low + 1
+    place = (files.indices.to_numpy().astype(np.int64) * wide + there - low) * many + numbers(spans, "part")
+    order = np.argsort(place, kind="stable")
+    file = pc.fill_null(pc.index_in(moments.column("file").combine_chunks(), value_set=files.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    there, part = numbers(moments, "stretch"), numbers(moments, "part")
+    sought = np.where((file < 0) | (there < low) | (there >= low + wide) | (part >= many), -1, (file * wide + there - low) * many + part)
+    start, upto = (np.searchsorted(place[order], sought, side) for side in ("left", "right"))
+    kept = np.flatnonzero(upto > start)
+    if not len(kept):
+        return none
+    moments, start, upto = moments.take(pa.array(kept)), start[kept], upto[kept]
+    lexemes = pc.split_pattern(moments.column("lexemes").combine_chunks(), " ")
+    s_from, s_to, s_first = reals(spans, "start_sec"), reals(spans, "end_sec"), numbers(spans, "first")
+    m_from, m_to, m_first, m_at = reals(moments, "start_sec") - tolerance, reals(moments, "end_sec") + tolerance, numbers(moments, "first"), numbers(moments, "stretch")
+    ids = spans.column("id").combine_chunks()
+    fresh = np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])  # a chunk lies in several stretches
+    chunk, above = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0)), np.nextafter(0.0, 1.0)
+    which, rows, scores = [], [], []
+    for i, _, total, _, _ in _totals(moments.select(["gains"]).append_column("lexemes", lexemes), spans, avgdl, settings):
+        own = order[start[i] : upto[i]]
+        own = own[(s_from[own] <= m_to[i]) & (s_to[own] >= m_from[i]) & (np.maximum(s_first[own], m_first[i]) == m_at[i]) & (total[own] > 0)]
+        if not len(own):
+            continue
+        score = np.round(total[own], 6)
+        near = np.flatnonzero(fresh & (total >= max(score.min() - 2e-6, above)))
+        if len(near) > k:
+            rival = total[near]
+            near = near[rival >= np.partition(rival, len(rival) - k)[len(rival) - k] - 2e-6]
+            best = near[np.lexsort((near, -np.round(total[near], 6)))[:k]]
+            stands = np.isin(chunk[own], best)
+            own, score = own[stands], score[stands]
+        which.append(np.full(len(own), i))
+        rows.append(own)
+        scores.append(score)
+    if not which:
+        return none
+    m, r = moments.take(pa.array(np.concatenate(which))), spans.take(pa.array(np.concatenate(rows)))
+    return pa.table([m.column("query_id"), r.column("id"), r.column("start_sec"), m.column("label"), m.column("grade"), m.column("start_sec"), pa.array(np.concatenate(scores), pa.float64())], names=none.column_names)
+
+
+def best_touching(spans: DataFrame, moments: DataFrame, k: int, n: int, avgdl: float, tolerance: float, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, id, start_sec, label, grade, gold_start, score): of the chunks that touch a labelled moment of a query, in the
+    sense of `interval_hits`, and have a lexeme in common with it those that may be among its k best.
+
+    Where many chunks and moments lie at one time, their pairs are too many to shuffle or stage. So both meet in blocks of
+    places (file and stretch), and a block passes on only pairs that fewer than k of its chunks come before. spans: id, file,
+    start_sec, end_sec, terms; moments: query_id, label, grade, file, start_sec, end_sec, lexemes, gains; both as `spread` has
+    them, terms and lexemes joined by blanks. n: the number of chunks.
+    """
+    usable = lambda df: df.where("file is not null and start_sec is not null and end_sec is not null")
+    spans, moments = usable(spans), usable(moments)
+    # Crowded places are divided: each part of their spans meets each part of their moments.
+    held = spans.select("file", "stretch", F.lit(1).alias("r"), F.lit(0).alias("g")).unionAll(moments.select("file", "stretch", F.lit(0), F.lit(1)))
+    parts = lambda c: F.greatest(F.ceil(F.sum(c) / CROWDED), F.lit(1)).cast("int")
+    crowded = F.broadcast(held.groupBy("file", "stretch").agg(parts("r").alias("across"), parts("g").alias("down")).where("across > 1 or down > 1"))
+    across, down = (F.coalesce(c, F.lit(1)) for c in ("across", "down"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    number = lambda key, m: F.pmod(F.xxhash64(key), m).cast("int")
+    block = F.pmod(F.xxhash64("file", "stretch", "part"), F.lit(max(1, -(-n // BLOCK_SPANS)))).cast("int").alias("block")
+
+    def parted(df: DataFrame, x: Column, y: Column, *columns: str) -> DataFrame:
+        df = df.join(crowded, ["file", "stretch"], "left").withColumns({"_x": x, "_y": y}).withColumn("part", F.col("_x") * down + F.col("_y"))
+        return df.select(block, "part", "file", "stretch", "first", "start_sec", "end_sec", *columns).groupBy("block")
+
+    left = parted(spans, number("id", across), every(down), "id", "terms")
+    right = parted(moments, every(across), number("query_id", down), "query_id", "label", "grade", "lexemes", "gains")
+    types = dict(moments.dtypes)
+    schema = f"query_id string, id string, start_sec double, label {types['label']}, grade {types['grade']}, gold_start double, score double"
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    return right.cogroup(left).applyInArrow(lambda m, s: _best_in_block(s, m, none, k, avgdl, tolerance, settings), schema)
+
+
 STANDING = "query_id string, id string, score double, ahead int, more int"
 
 

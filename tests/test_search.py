@@ -244,6 +244,53 @@ def test_judged_queries_leave_no_shuffle_files(spark, small, name):
     assert left() <= 2_000  # those of single counts
 
 
+@pytest.mark.parametrize(("block", "crowded"), [(4_096, 16_384), (20, 8)])
+def test_pairs_passed_on_hold_the_ten_best(spark, monkeypatch, block, crowded):
+    """Of the pairs that touch only some are passed on, with their scores, and the same stand; however places are divided."""
+    rnd = random.Random(8)
+    pool = [f"term{i}" for i in range(12)]
+    span = lambda lo: (lo, lo + rnd.choice([0.0, 3.0, 50.0, 200.0]))
+    held = [(f"c{i:03d}", rnd.choice(["f", "g"]), *span(rnd.uniform(0, 300)), rnd.choices(pool, k=rnd.randint(1, 6))) for i in range(400)]
+    odd = [("o1", None, 0.0, 9.0, ["term1"]), ("o2", "f", None, 9.0, ["term1"]), ("o3", "f", 0.0, None, ["term1"]), ("o4", "f", 50.0, 1e15, ["term1"]), ("o5", "f", -1e15, 70.0, ["term1"]), ("o6", "f", 0.0, math.nan, ["term1"])]
+    chunks = spark.createDataFrame(held + odd, "id string, file string, start_sec double, end_sec double, terms array<string>")
+    named = [(f"q{i}", rnd.choices([*pool, "missing"], k=3)) for i in range(30)]
+    lexemes = retrieval.query_lexemes(spark.createDataFrame([(q, " ".join(t)) for q, t in named], "query_id string, q_text string"))
+    asks, n, avgdl = retrieval.asked_terms(lexemes, chunks.select("id", "terms"))
+    gold = spark.createDataFrame([(q, k, f, *span(rnd.uniform(0, 300)), k) for q, _ in named for k, f in enumerate(["f", "g", "none", None])] + [("q1", 7, "f", None, 9.0, 1), ("q1", 8, "f", 9.0, None, 1)], "query_id string, label int, file string, start_sec double, end_sec double, grade int")
+    asking, joined = gold.join(asks.withColumn("lexemes", F.array_join("lexemes", " ")), "query_id"), chunks.withColumn("terms", F.array_join("terms", " "))
+    pairs = evaluation.touching(joined, asking, ["file"]).select("g.query_id", "r.id", "r.start_sec", "g.label", "g.grade", F.col("g.start_sec").alias("gold_start"), "g.lexemes", "g.gains", "r.terms")
+    every = retrieval.score_pairs(pairs, avgdl)
+    monkeypatch.setattr(retrieval, "BLOCK_SPANS", block)
+    monkeypatch.setattr(retrieval, "CROWDED", crowded)
+    got = retrieval.best_touching(*evaluation.spread(joined, asking), 10, n, avgdl, 5.0).select(every.columns)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    stand = lambda df: rows(retrieval.standing(df, asks, chunks.select("id", "terms"), 10, n, avgdl))
+    passed, all_pairs = rows(got), rows(every)
+    assert set(passed) <= set(all_pairs) and len(set(passed)) == len(passed) < (0.7 if block == 20 else 0.3) * len(all_pairs)
+    assert len(stand(every)) > 20 and stand(got) == stand(every)
+    assert retrieval.best_touching(*evaluation.spread(joined.limit(0), asking), 10, n, avgdl, 5.0).count() == 0
+
+
+def test_judged_queries_pass_on_few_pairs_of_crowded_times(spark, small, monkeypatch, tmp_path):
+    """Twenty copies of all chunks and queries lie at the same times. Before, all pairs that touch were staged, 400 times as
+    many as of one copy; the rows are those of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    for name in ("chunks", "golden_queries"):
+        t = spark.read.parquet(f"{small}/{name}.parquet")
+        t.crossJoin(spark.range(20).withColumnRenamed("id", "_k")).withColumn("id", F.concat("id", F.lit("~"), "_k")).drop("_k").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.sql(f"create or replace view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    seen, standing = [], retrieval.standing
+
+    def counted(pairs, *rest):  # noqa: ANN001, ANN002, ANN202
+        seen.append(pairs.count())
+        return standing(pairs, *rest)
+
+    monkeypatch.setattr(retrieval, "standing", counted)
+    got = catalogue.i2_mrr_and_success(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(duckdb.sql(f"select query_id, mrr, success5 from ({catalogue.SQL['i2_mrr_and_success']})").fetchall())
+    assert 0 < seen[0] <= 10 * catalogue.unquoted_labels(spark, str(tmp_path)).count()
+
+
 def test_credit_as_columns(spark):
     """The same credits as rank by rank, without a group of pandas rows a query."""
     rnd = random.Random(4)
